@@ -39,4 +39,10 @@ SELECT term, mark FROM marked WHERE mark IS NOT NULL""",
 WITH {BAG}
 SELECT term, occurrences::BIGINT AS occurrences, records,
        CASE WHEN records <= 2 THEN 'rare' WHEN records * 5 >= n THEN 'common' END AS mark FROM stats, total""",
+    "p9_found": """
+WITH cut AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+seen AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT id AS item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM cut)),
+b AS (SELECT DISTINCT id AS doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM seen))
+SELECT DISTINCT doc_id, item_id FROM b JOIN a USING (g)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, frequency
+from lexmill.llm import distinctive, encode, frequency, leak
 from lexmill.llm.bags import Bags, term_bags
 from lexmill.sources.tables import Scratch, table
 
@@ -42,6 +42,22 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(bags.rows).withColumn("mark", frequency.mark(F.col("records"), bags.n))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with leaks, their items and what is left of the text."""
+    documents = table(spark, d, "documents")
+    found = Scratch(spark).keep(leak.leaks(documents, table(spark, d, "eval_items")))
+    return leak.clean(documents, found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_divergence, p6_found, p6_frequencies)
+    f.__name__: f for f in (p3_found, p3_divergence, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean)
 }
