@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, encode, frequency, leak
+from lexmill.llm import distinctive, encode, frequency, leak, markup
 from lexmill.llm.bags import Bags, term_bags
 from lexmill.sources.tables import Scratch, table
 
@@ -30,6 +30,22 @@ def p3_divergence(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(_bags(spark, d, scratch, keep=True), scratch, digits=6, top=10).select("doc_id", "term", "score")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.markup(table(spark, d, "articles"), Scratch(spark))
+    return found.select("doc_id", F.explode("kinds").alias("structure")).distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of each article with foreign markup; headings, lists, code and formulas keep a mark."""
+    return markup.markup(table(spark, d, "articles"), Scratch(spark)).select("doc_id", "text").distinct()
+
+
+def p5_template(spark: SparkSession, d: str) -> DataFrame:
+    """The template classes of each file."""
+    pages = table(spark, d, "articles").where("text_lines is not null")
+    return markup.template_classes(pages).select("path", F.array_join("tokens", " ").alias("tokens"), "pages", "depth")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     bags = _bags(spark, d, Scratch(spark))
     marked = frequency.term_frequencies(bags.rows).withColumn("mark", frequency.mark(F.col("records"), bags.n))
@@ -59,5 +75,5 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_divergence, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean)
+    f.__name__: f for f in (p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean)
 }
