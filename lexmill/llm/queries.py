@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, encode, frequency, leak, markup
+from lexmill.llm import distinctive, encode, frequency, leak, markup, pii
 from lexmill.llm.bags import Bags, term_bags
 from lexmill.sources.tables import Scratch, table
 
@@ -74,6 +74,16 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leak.clean(documents, found)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.personal_information(table(spark, d, "documents"), table(spark, d, "name_list"))
+    return found.select("doc_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that hold personal information, with placeholders in its place."""
+    return pii.personal_information(table(spark, d, "documents"), table(spark, d, "name_list")).select("doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean)
+    f.__name__: f for f in (p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
 }
