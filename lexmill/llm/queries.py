@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, encode, frequency, leak, markup, pii
+from lexmill.llm import distinctive, encode, frequency, leak, markup, near_dup, pii
 from lexmill.llm.bags import Bags, term_bags
 from lexmill.sources.tables import Scratch, table
 
@@ -58,6 +58,12 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(bags.rows).withColumn("mark", frequency.mark(F.col("records"), bags.n))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark)
+    stop = frozenset(r.word for r in table(spark, d, "stop_words").where("word is not null").select("word").distinct().limit(100_000).collect())
+    return near_dup.near_duplicates(near_dup.article_texts(table(spark, d, "articles"), scratch), scratch, stop)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -85,5 +91,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
+    f.__name__: f for f in (p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
 }
