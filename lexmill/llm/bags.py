@@ -22,14 +22,8 @@ class Bags:
     n: int
 
 
-def term_bags(postings: DataFrame, articles: DataFrame, scratch: Scratch, keep: bool = False) -> Bags:
-    """Bag of every id: its terms in ``postings``; if it has none there, the words of its ``processed_words``.
-
-    Repeated postings count once (of differing repeats the largest tf), a null tf is 1; rows with a null id or term
-    or a term that fails the term test are left out. Of repeated articles the newest row with words counts. Ids
-    without any term have no bag; empty tables give an empty bag. Other columns are ignored. ``keep`` writes the rows, for callers that read them more
-    than once.
-    """
+def _parts(postings: DataFrame, articles: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The valid postings, their ids, and the bags (doc_id, term, tf) of the other articles."""
     valid = postings.where(is_term(F.col("term")) & F.col("doc_id").isNotNull())
     known = scratch.keep(valid.select("doc_id").distinct())
     absent = scratch.keep(articles.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti"))
@@ -46,7 +40,27 @@ def term_bags(postings: DataFrame, articles: DataFrame, scratch: Scratch, keep:
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"))
     )
-    rows = (
-        valid.groupBy("doc_id", "term").agg(F.max(F.coalesce(F.col("tf").cast("long"), F.lit(1))).alias("tf")).unionByName(others)
-    )
+    return valid, known, others
+
+
+def term_sets(postings: DataFrame, articles: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(doc_id, tokens)``: the sorted 64-bit hashes of the terms of each bag, see ``term_bags``. The set of an id is
+    collected after its repeats are dropped within each task; it is bounded by the vocabulary."""
+    valid, _, others = _parts(postings, articles, scratch)
+    token = F.xxhash64("term").alias("token")
+    rows = valid.select(F.col("doc_id").cast("long").alias("doc_id"), token).unionByName(others.select(F.col("doc_id").cast("long").alias("doc_id"), token))
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+
+
+def term_bags(postings: DataFrame, articles: DataFrame, scratch: Scratch, keep: bool = False) -> Bags:
+    """Bag of every id: its terms in ``postings``; if it has none there, the words of its ``processed_words``.
+
+    Repeated postings count once (of differing repeats the largest tf), a null tf is 1; rows with a null id or term
+    or a term that fails the term test are left out. Of repeated articles the newest row with words counts. Ids
+    without any term have no bag; empty tables give an empty bag. Other columns are ignored. ``keep`` writes the
+    rows, for callers that read them more than once.
+    """
+    valid, known, others = _parts(postings, articles, scratch)
+    tf = F.max(F.coalesce(F.col("tf").cast("long"), F.lit(1))).alias("tf")
+    rows = valid.groupBy("doc_id", "term").agg(tf).unionByName(others)
     return Bags(scratch.keep(rows) if keep else rows, known.count() + others.select("doc_id").distinct().count())
