@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, encode, frequency, leak, markup, near_dup, pii, set_join
+from lexmill.llm import distinctive, encode, frequency, leak, markup, near_dup, neighbors, pii, set_join
 from lexmill.llm.bags import Bags, term_bags, term_sets
+from lexmill.llm.hashing import fold_copies
 from lexmill.sources.tables import Scratch, table
 
 
@@ -16,9 +17,14 @@ def _bags(spark: SparkSession, d: str, scratch: Scratch, keep: bool = False) ->
     return term_bags(table(spark, d, "postings"), table(spark, d, "articles"), scratch, keep)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbors.nearest(neighbors.entries(table(spark, d, "term_document_info")), Scratch(spark))
+    return found.select("field", F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    sets, members = set_join.fold_copies(term_sets(table(spark, d, "postings"), table(spark, d, "articles"), scratch), scratch)
+    sets, members = fold_copies(term_sets(table(spark, d, "postings"), table(spark, d, "articles"), scratch), scratch)
     return set_join.all_pairs(scratch.keep(set_join.similar_sets(sets, scratch)), members, scratch).select("doc_a", "doc_b")
 
 
@@ -97,5 +103,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.near_dup import mix
+from lexmill.llm.hashing import mix
 from lexmill.sources.tables import Scratch
 
 _U = np.uint64
@@ -205,17 +205,6 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: float = 0.7, tree
     return found.where(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def fold_copies(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets ``(id, tokens)``, named by their smallest record, and ``members (doc_id, id)``. Equal sets meet by
-    two hashes of the sorted tokens and their number, 128 bits in all."""
-    keyed = rows.select("doc_id", "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(7), F.col("tokens")).alias("g"), F.size("tokens").alias("n"))
-    kept = scratch.keep(keyed)
-    first = scratch.keep(kept.groupBy("h", "g", "n").agg(F.min("doc_id").alias("id")))
-    members = scratch.keep(kept.select("doc_id", "h", "g", "n").join(first, ["h", "g", "n"]).select("doc_id", "id"))
-    sets = scratch.keep(kept.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "tokens"))
-    return sets, members
-
-
 def all_pairs(links: DataFrame, members: DataFrame, scratch: Scratch, salts: int = 16) -> DataFrame:
     """``(doc_a, doc_b)``: the links between sets and the equality within them, for all records that hold them."""
     shared = scratch.keep(members.join(members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "id", "left_semi"))
