@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import distinctive, encode, frequency, leak, markup, near_dup, neighbors, pii, set_join
+from lexmill.llm import distinctive, encode, flow_clusters, frequency, leak, markup, near_dup, neighbors, pii, set_join
 from lexmill.llm.bags import Bags, term_bags, term_sets
 from lexmill.llm.hashing import fold_copies
 from lexmill.sources.tables import Scratch, table
@@ -42,6 +42,17 @@ def p3_divergence(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(_bags(spark, d, scratch, keep=True), scratch, digits=6, top=10).select("doc_id", "term", "score")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = flow_clusters.clusters(table(spark, d, "term_document_info"), table(spark, d, "clusters"), Scratch(spark))
+    return found.select("doc_id", "cluster_id")
+
+
+def p4_described(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each cluster."""
+    scratch = Scratch(spark)
+    return flow_clusters.describe(scratch.keep(flow_clusters.clusters(table(spark, d, "term_document_info"), table(spark, d, "clusters"), scratch)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = markup.markup(table(spark, d, "articles"), Scratch(spark))
     return found.select("doc_id", F.explode("kinds").alias("structure")).distinct()
@@ -103,5 +114,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_divergence, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_divergence, p4_found, p4_described, p5_found, p5_clean, p5_template, p6_found, p6_frequencies, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)
 }
