@@ -14,19 +14,12 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import process_lines
 from lexmill.llm.bags import MOST_IDS
 from lexmill.llm.components import components
+from lexmill.llm.hashing import fold_copies, mix
 from lexmill.sources.tables import Scratch, small
 
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Scramble 64-bit numbers (the finaliser of splitmix64)."""
-    x = x.astype(_U)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
@@ -80,12 +73,13 @@ def _batches(batches: Iterator[pa.RecordBatch], stop: frozenset[str]) -> Iterato
         yield ids.to_numpy(zero_copy_only=False).astype(np.int64), whole
 
 
-def shared_enough(texts: DataFrame, stop: frozenset[str], k: int, threshold: float) -> DataFrame:
-    """``(doc_id)`` of the records that can have a partner at all: at least ``threshold`` of their runs occur in
-    another record, too. Exact, as the overlap of two sets with that similarity is at least that share of either.
+def shared_runs(texts: DataFrame, stop: frozenset[str], k: int, threshold: float) -> DataFrame:
+    """``(doc_id, size, tokens, counts)``: of each record that can have a partner at all the number of its runs and, sorted,
+    those that occur in another record, too, with the number of records seen to hold them. Exact: the overlap of two sets with that similarity is at least the
+    ``threshold``'s share of either, and an overlap consists of shared runs only.
 
-    The one shuffle sends each (run, record) to the run's place, sorted; there a single pass with constant memory
-    tells runs of one record from shared ones, however many records share them.
+    The one large shuffle sends each (run, record) to the run's place, sorted; there a single pass with constant
+    memory tells runs of one record from shared ones, however many records share them.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,41 +91,41 @@ def shared_enough(texts: DataFrame, stop: frozenset[str], k: int, threshold: flo
             )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (run, record, size, whether it was counted) of the row before this batch
+        last = None  # (run, record, size, whether it was sent on) of the row before this batch
         for batch in batches:
             h, ids, size = (batch.column(i).to_numpy() for i in range(3))
             if not len(h):
                 continue
-            counted = np.zeros(len(h), bool)
+            sent = np.zeros(len(h), bool)
             if last is not None:
-                h, ids, size = np.r_[last[0], h], np.r_[last[1], ids], np.r_[last[2], size]
-                counted = np.r_[last[3], counted]
+                h, ids, size, sent = (np.r_[x, y] for x, y in zip(last, (h, ids, size, sent), strict=True))
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-            h, ids, size, counted = h[first], ids[first], size[first], counted[first]
-            same = np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
-            hit = same.copy()
-            hit[:-1] |= same[1:]
-            new = hit & ~counted
-            last = (h[-1:], ids[-1:], size[-1:], np.array([bool(hit[-1] or counted[-1])]))
-            found, place, n = np.unique(ids[new], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(size[new][place].astype(np.int32)), pa.array(n.astype(np.int64))], ["doc_id", "size", "n"]
-            )
+            h, ids, size, sent = h[first], ids[first], size[first], sent[first]
+            hit = np.zeros(len(h), bool)
+            hit[1:] = h[1:] == h[:-1]
+            hit[:-1] |= hit[1:].copy()
+            new = hit & ~sent
+            edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            count = np.repeat(np.diff(edges), np.diff(edges))
+            count[edges[-2] :] = np.maximum(count[-1], 64)  # the run may go on; only costs depend on it
+            last = (h[-1:], ids[-1:], size[-1:], (hit | sent)[-1:])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(size[new]), pa.array(h[new]), pa.array(count[new].astype(np.int32))], ["doc_id", "size", "h", "count"])
 
     runs = texts.mapInArrow(emit, "h long, doc_id long, size int")
-    parts = runs.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(shared, "doc_id long, size int, n long")
-    counts = parts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    return counts.where(F.col("n") >= F.ceil(F.col("size") * threshold - 1e-9)).select("doc_id")
+    parts = runs.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(shared, "doc_id long, size int, h long, count int")
+    sets = parts.groupBy("doc_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("h", "count"))).alias("runs"))
+    able = sets.where(F.size("runs") >= F.ceil(F.col("size") * threshold - 1e-9))
+    return able.select("doc_id", "size", F.col("runs.h").alias("tokens"), F.col("runs.count").alias("counts"))
 
 
 class Partitions:
     """Universe partitioning by the pigeonhole principle, for a similarity of sets |x n y| / |x u y| >= ``threshold``.
 
-    Sizes fall into bands. A band with sizes up to U has ``segments(U)`` segments, into which hashes divide the
-    tokens. Sets of sizes n and at most U differ in at most h = (1 - t) / (1 + t) * (n + U) tokens; if a probe gives
-    its segments allowances that sum up to more than h, some segment differs by less than its allowance. Allowance 1
+    A set has n shared tokens of ``size`` in all; the others can only differ. Numbers n fall into bands. A band with up
+    to U has ``segments(U)`` segments, into which hashes divide the tokens. With c = 2t / (1 + t) the shared tokens of a
+    set and of one with at most U differ in at most n - c * size + (1 - c) * U; if a probe gives its segments
+    allowances that sum up to more than that, some segment differs by less than its allowance. Allowance 1
     means equal segments, 2 means that they differ in at most one token, found in the one-deletion neighbourhoods.
     """
 
@@ -149,118 +143,177 @@ class Partitions:
         return np.maximum(np.ceil(differ * self.per_token).astype(np.int64), 1)
 
     @staticmethod
-    def _parts(record: np.ndarray, h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Non-empty segments (record, segment, size, content) and, for each token, its segment's index and its code."""
+    def _parts(record: np.ndarray, h: np.ndarray, count: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Non-empty segments (record, segment, size, content, lowest and second lowest count of a token) and, for each
+        token, its segment's index and its code."""
         segment = (mix(h ^ _U(0x5851F42D4C957F2D)) % m.astype(_U)[record]).astype(np.int64)
-        order = np.lexsort((segment, record))
-        record, segment, code = record[order], segment[order], mix(h[order])
+        order = np.lexsort((count, segment, record))
+        record, segment, code, count = record[order], segment[order], mix(h[order]), count[order]
         start = np.ones(len(record), bool)
         start[1:] = (record[1:] != record[:-1]) | (segment[1:] != segment[:-1])
         at = np.flatnonzero(start)
         content = np.add.reduceat(code, at) if len(at) else code[:0]
         size = np.diff(np.r_[at, len(record)])
-        return record[at], segment[at], size, content, np.cumsum(start) - 1, code
+        second = count[np.minimum(at + 1, max(len(count) - 1, 0))]
+        return record[at], segment[at], size, content, count[at], second, np.cumsum(start) - 1, code
 
     @staticmethod
     def _key(band: np.ndarray, segment: np.ndarray, kind: int, content: np.ndarray) -> np.ndarray:
         return mix(mix(band.astype(_U) * _U(1 << 32) + segment.astype(_U) * _U(2) + _U(kind)) ^ content)
 
-    def index(self, record: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def index(self, record: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(record, key)`` under which a set is filed: its segments, and its segments with one token left out."""
-        band = self.band(sizes)
-        r, s, size, content, owner, code = self._parts(record, h, self.segments(self.largest(band)))
+        band = self.band(n)
+        r, s, size, content, _, _, owner, code = self._parts(record, h, np.zeros(len(h), np.int64), self.segments(self.largest(band)))
         whole = self._key(band[r], s, 0, content)
         longer = size[owner] > 1
         o = owner[longer]
         less = self._key(band[r[o]], s[o], 1, content[o] - code[longer])
         return np.r_[r, r[o]], np.r_[whole, less]
 
-    def probe(self, record: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(record, key)`` that find every similar set of at most the record's size, and the records for which the
-        allowances would have to be spent on empty segments, too.
+    def probe(
+        self, record: np.ndarray, h: np.ndarray, count: np.ndarray, n: np.ndarray, sizes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(record, key)`` that find every similar set with at most the record's number of shared tokens, and the
+        records for which the allowances would have to be spent on empty segments, too.
 
-        Cost decides on allowances: empty segments are equal in too many sets and get none; others get 1, large ones
-        first, then those of two tokens or more a second.
+        Cost decides on allowances. A segment equals at most as many others as its rarest token has records; with
+        one token free it is as many as the second rarest has. The cheapest are taken; empty segments equal too many.
         """
-        own, out_r, out_k, hard = self.band(sizes), [], [], np.zeros(len(sizes), bool)
+        own, out_r, out_k, hard = self.band(n), [], [], np.zeros(len(n), bool)
         low = self.band(np.ceil(sizes * self.t - 1e-9).astype(np.int64))
+        c = 2 * self.t / (1 + self.t)
         for back in range(int((own - low).max(initial=0)) + 1):
             band = own - back
-            live = (band >= low) & (sizes > 0)
-            if not live.any():
-                continue
-            largest = np.minimum(self.largest(band), sizes)
-            need = np.floor((1 - self.t) / (1 + self.t) * (sizes + largest) + 1e-9).astype(np.int64) + 1
+            largest = np.minimum(self.largest(band), n)
+            need = np.floor(n - c * sizes + (1 - c) * largest + 1e-9).astype(np.int64) + 1
+            live = (band >= low) & (n > 0) & (need > 0)
             keep = live[record]
-            r, s, size, content, owner, code = self._parts(record[keep], h[keep], self.segments(self.largest(band)))
+            r, s, size, content, rarest, second, owner, code = self._parts(record[keep], h[keep], count[keep], self.segments(self.largest(band)))
             if not len(r):
                 continue
-            order = np.lexsort((-size, r))
-            ends = np.flatnonzero(np.r_[r[order][1:] != r[order][:-1], True])
-            starts = np.r_[0, ends[:-1] + 1]
-            rank = np.empty(len(r), np.int64)
-            rank[order] = np.arange(len(r)) - np.repeat(starts, ends - starts + 1)
-            filled = np.bincount(r, minlength=len(sizes))
-            larger = np.bincount(r, size > 1, minlength=len(sizes)).astype(np.int64)
-            first = rank < need[r]
-            second = (size > 1) & (rank < (need - filled)[r])
-            hard |= live & (filled + larger < need)
-            out_r.append(r[first])
-            out_k.append(self._key(band[r[first]], s[first], 0, content[first]))
-            out_r.append(r[second])
-            out_k.append(self._key(band[r[second]], s[second], 1, content[second]))
-            o = owner[second[owner]]
-            out_r.append(r[o])
-            out_k.append(self._key(band[r[o]], s[o], 0, content[o] - code[second[owner]]))
+            longer = np.flatnonzero(size > 1)
+            offered = np.r_[r, r[longer]]
+            order = np.lexsort((np.r_[rarest, second[longer]], offered))
+            first_of = np.searchsorted(offered[order], offered[order])
+            rank = np.empty(len(offered), np.int64)
+            rank[order] = np.arange(len(order)) - first_of
+            hard |= live & (np.bincount(offered, minlength=len(n)) < need)
+            taken = rank < need[offered]
+            once, twice = np.zeros(len(r), bool), np.zeros(len(r), bool)
+            once[:] = taken[: len(r)]
+            twice[longer] = taken[len(r) :]
+            once |= twice
+            o = owner[twice[owner]]
+            out_r += [r[once], r[twice], r[o]]
+            out_k += [
+                self._key(band[r[once]], s[once], 0, content[once]),
+                self._key(band[r[twice]], s[twice], 1, content[twice]),
+                self._key(band[r[o]], s[o], 0, content[o] - code[twice[owner]]),
+            ]
         return np.concatenate(out_r or [record[:0]]), np.concatenate(out_k or [h[:0]]), hard
 
 
-def _set_rows(texts: DataFrame, stop: frozenset[str], k: int) -> DataFrame:
-    """``(doc_id, digest, size, runs)``: the set of runs of each record and two hashes of all of it."""
+#: Rows of one key that are compared pair by pair at once; beyond it a key is large and meets by leaders first.
+LARGE_KEY = 400
+INDEX, PROBE, HARD = 0, 1, 2
+PAIR, MORE = 3, 4
+_meeting = "kind int, key long, id long, n int, size int, other long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, whole in _batches(batches, stop):
-            record, h = shingle_sets(whole, k)
-            sizes = np.bincount(record, minlength=len(ids))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            full = np.flatnonzero(sizes)
-            digest = [xxhash.xxh128_hexdigest(h[offsets[i] : offsets[i + 1]].tobytes()) for i in full]
-            runs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))).take(pa.array(full))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[full]), pa.array(digest, pa.string()), pa.array(sizes[full].astype(np.int32)), runs], ["doc_id", "digest", "size", "runs"]
-            )
-
-    return texts.mapInArrow(run, "doc_id long, digest string, size int, runs array<long>")
 
-
-def _keys(sets: DataFrame, partitions: Partitions, probe: bool) -> DataFrame:
-    """``(key, id, size, hard)``: one row per key; a probe's ``hard`` row has no key."""
+def _keys(sets: DataFrame, partitions: Partitions) -> DataFrame:
+    """``(kind, key, id, n, size)``: the keys under which each set is filed and those that it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, runs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
-            h = runs.flatten().to_numpy().view(_U)
-            record = np.repeat(np.arange(len(ids)), sizes)
-            if probe:
-                r, keys, hard = partitions.probe(record, h, sizes)
-            else:
-                (r, keys), hard = partitions.index(record, h, sizes), np.zeros(len(ids), bool)
-            more = np.flatnonzero(hard)
-            columns = [
-                pa.array(np.r_[keys, np.zeros(len(more), _U)].view(np.int64)), pa.array(ids[np.r_[r, more]]),
-                pa.array(sizes[np.r_[r, more]].astype(np.int32)), pa.array(np.r_[np.zeros(len(r), bool), np.ones(len(more), bool)]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "size", "hard"])
-
-    return sets.select("id", "size", "runs").mapInArrow(run, "key long, id long, size int, hard boolean")
+            n = np.diff(runs.offsets.to_numpy()).astype(np.int64)
+            h, record = runs.flatten().to_numpy().view(_U), np.repeat(np.arange(len(ids)), n)
+            filed, asked = partitions.index(record, h, n), partitions.probe(record, h, batch.column(3).flatten().to_numpy(), n, sizes)
+            hard = np.flatnonzero(asked[2])
+            r = np.r_[filed[0], asked[0], hard]
+            kind = np.repeat([INDEX, PROBE, HARD], [len(filed[0]), len(asked[0]), len(hard)])
+            key = np.r_[filed[1], asked[1], mix(ids[hard].view(_U))].view(np.int64)
+            columns = [pa.array(x) for x in (kind.astype(np.int32), key, ids[r], n[r].astype(np.int32), sizes[r].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "id", "n", "size"])
+
+    return sets.select("id", "size", "tokens", "counts").mapInArrow(run, "kind int, key long, id long, n int, size int")
+
+
+def _meet(keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(PAIR, key, probe, ..., other)`` of the keys' small groups; of large groups the pairs with the leader and
+    all rows as ``MORE``, the side in ``other``; ``HARD`` rows as they are. One shuffle by key; sorted groups stream
+    through, of which at most ``LARGE_KEY`` rows are held."""
+
+    def fits(p: np.ndarray, i: np.ndarray, ids: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        smaller = (n[i] < n[p]) | ((n[i] == n[p]) & (ids[i] < ids[p]))
+        return smaller & (n[i] >= threshold * size[p] - 1e-9) & (n[p] >= threshold * size[i] - 1e-9)
+
+    def batch_of(kind, key, ids, n, size, other) -> pa.RecordBatch:
+        columns = [np.broadcast_to(np.int32(kind), len(ids)) if np.isscalar(kind) else kind.astype(np.int32), key, ids, n.astype(np.int32), size.astype(np.int32), other.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["kind", "key", "id", "n", "size", "other"])
+
+    def all_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        kind, key, ids, n, size = rows
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        filed = np.bincount(group, kind == INDEX, minlength=len(edges)).astype(np.int64)
+        p = np.flatnonzero(kind == PROBE)
+        count = filed[group[p]]
+        a = np.repeat(p, count)
+        b = np.repeat(edges[group[p]], count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        ok = fits(a, b, ids, n, size)
+        a, b = a[ok], b[ok]
+        return batch_of(PAIR, key[a], ids[a], n[a], size[a], ids[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int32, np.int32)]
+        large, leader = None, None
+        for batch in batches:
+            rows = [np.r_[x, batch.column(i).to_numpy()] for i, x in enumerate(held)]
+            kind, key = rows[0], rows[1]
+            if not len(key):
+                continue
+            start = np.r_[True, key[1:] != key[:-1]]
+            edges = np.flatnonzero(np.r_[start, True])
+            length = np.repeat(np.diff(edges), np.diff(edges))
+            still_open = np.arange(len(key)) >= edges[-2]
+            big = (length > LARGE_KEY) | (key == large if large is not None else False)
+            special = kind == HARD
+            if special.any():
+                yield batch_of(HARD, *(x[special] for x in rows[1:]), rows[2][special])
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s <= LARGE_KEY and not big[s]:
+                    continue
+                part = [x[s:e] for x in rows]
+                if part[1][0] != large:
+                    large, leader = part[1][0], [x[:1] for x in part] if part[0][0] == INDEX else None
+                if leader is None:
+                    continue  # nothing is filed under the key
+                yield batch_of(MORE, *part[1:], part[0])
+                p = np.flatnonzero(part[0] == PROBE) + 1
+                joined = [np.r_[x, y] for x, y in zip(leader, part, strict=True)]
+                p = p[fits(p, np.zeros(len(p), np.int64), *joined[2:])]
+                yield batch_of(PAIR, *(x[p] for x in joined[1:]), np.repeat(joined[2][:1], len(p)))
+            done = ~big & ~still_open & ~special
+            if done.any():
+                yield all_of([x[done] for x in rows])
+            keep = ~big & still_open & ~special
+            held = [x[keep] for x in rows]
+        if len(held[1]):
+            yield all_of(held)
+
+    rows = keys.repartition("key").sortWithinPartitions("key", "kind", "n", "id")
+    return rows.mapInArrow(run, _meeting)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, compared in full."""
-    a = sets.select(F.col("id").alias("a"), F.col("runs").alias("x"), F.col("size").alias("n"))
-    b = sets.select(F.col("id").alias("b"), F.col("runs").alias("y"), F.col("size").alias("m"))
+    a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"), F.col("size").alias("n"))
+    b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"), F.col("size").alias("m"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").withColumn("both", both).where(F.col("both") >= threshold * (F.col("n") + F.col("m") - F.col("both")) - 1e-9).select("a", "b")
+    found = pairs.join(a, "a").join(b, "b").withColumn("both", both)
+    return found.where(F.col("both") >= threshold * (F.col("n") + F.col("m") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def near_duplicates(texts: DataFrame, scratch: Scratch, stop: frozenset[str] = frozenset(), k: int = 3, threshold: float = 0.5) -> DataFrame:
@@ -268,48 +321,35 @@ def near_duplicates(texts: DataFrame, scratch: Scratch, stop: frozenset[str] = f
     with a similarity of ``threshold`` or more; ``group_id`` is the smallest id, no group has one member.
 
     ``texts`` is ``article_texts``. Records of fewer than ``k`` words have no runs and no group; empty tables give no
-    rows. Copies are folded into their smallest id first, so a group of equal records of any size is one set. Links
-    are found in two rounds: first each probe meets one leader per key, which links large families in linear time;
-    then, of the keys that still join different components, all pairs across components. No link between different
+    rows. Copies are folded into their smallest id first, so a group of equal records of any size is one set. Keys
+    with few sets meet pair by pair. A key of many sets meets in two rounds: all with one leader, which links large
+    families in linear time, then all pairs of different components. No link between different
     sets is lost, and none is looked for twice within a family.
     """
-    partitions = Partitions(threshold)
-    able = scratch.keep(shared_enough(texts, stop, k, threshold).distinct())
-    rows = scratch.keep(_set_rows(texts.join(small(able, MOST_IDS), "doc_id", "left_semi"), stop, k).dropDuplicates(["doc_id"]))
-    copies = scratch.keep(rows.groupBy("digest", "size").agg(F.min("doc_id").alias("id")))
-    members = rows.select("doc_id", "digest", "size").join(copies, ["digest", "size"]).select("doc_id", "id")
-    sets = scratch.keep(rows.join(copies.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "size", "runs"))
-
-    index = scratch.keep(_keys(sets, partitions, probe=False).drop("hard"))
-    probes = scratch.keep(_keys(sets, partitions, probe=True))
-    easy = probes.where("not hard").drop("hard")
-    fits = (F.col("size") >= F.ceil(threshold * F.col("n") - 1e-9)) & (F.struct("size", "id") < F.struct("n", "r"))
-    asked = easy.select("key", F.col("id").alias("r"), F.col("size").alias("n"))
-    leaders = index.groupBy("key").agg(F.min_by("id", F.struct("size", "id")).alias("id"), F.min("size").alias("size"))
-    pairs = asked.join(leaders, "key").where(fits).select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.keep(_verified(pairs, sets, threshold))
-    named = scratch.keep(components(first, scratch))
-
-    def with_component(rows: DataFrame) -> DataFrame:
-        return rows.join(small(named, MOST_IDS), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    i, p = with_component(index), with_component(easy)
-    span = i.select("key", "component", F.lit(0).alias("side")).unionByName(p.select("key", "component", F.lit(1).alias("side")))
-    mixed = scratch.keep(
-        span.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("side").alias("s"), F.max("side").alias("t")).where("x <> y and s <> t").select("key")
-    )
-    mixed = small(mixed, MOST_IDS)
-    left = p.join(mixed, "key", "left_semi").select("key", F.col("id").alias("r"), F.col("size").alias("n"), F.col("component").alias("c"))
-    right = i.join(mixed, "key", "left_semi")
-    across = left.join(right, "key").where(fits & (F.col("c") != F.col("component"))).select(F.col("r").alias("a"), F.col("id").alias("b"))
-
-    hard = scratch.keep(probes.where("hard").select("id").distinct())
-    if hard.count():  # their sets meet all sets that share a run
-        asked = sets.join(small(hard, MOST_IDS), "id", "left_semi").select(F.explode("runs").alias("h"), F.col("id").alias("r"), F.col("size").alias("n"))
-        filed = sets.select(F.explode("runs").alias("h"), "id", "size")
-        across = across.unionByName(asked.join(filed, "h").where(fits).select(F.col("r").alias("a"), F.col("id").alias("b")))
-    second = scratch.keep(_verified(across.distinct(), sets, threshold))
-    linked = components(first.unionByName(second), scratch)
+    sets, members = fold_copies(shared_runs(texts, stop, k, threshold), scratch, F.size("tokens") == F.col("size"))
+    met = scratch.keep(_meet(_keys(sets, Partitions(threshold)), threshold))
+    pairs = met.where(F.col("kind") == PAIR).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    links = scratch.keep(_verified(pairs.distinct(), sets, threshold))
+    linked = scratch.keep(components(links, scratch))
+    kinds = {r.kind for r in met.where(F.col("kind") != PAIR).select("kind").distinct().collect()}
+    rest = None
+    if MORE in kinds:
+        rows = met.where(F.col("kind") == MORE).join(small(linked, MOST_IDS), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        asked = rows.where(F.col("other") == PROBE).select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
+        filed = rows.where(F.col("other") == INDEX).select("key", F.col("id").alias("b"), "n", "component")
+        mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        ordered = F.struct("n", "b") < F.struct(F.col("m").alias("n"), F.col("a").alias("b"))
+        rest = asked.join(mixed, "key", "left_semi").join(filed, "key").where((F.col("c") != F.col("component")) & ordered).select("a", "b")
+    if HARD in kinds:  # of these so many of the rarest runs that a partner must have one of them meet all sets' runs
+        hard = met.where(F.col("kind") == HARD).select("id").distinct()
+        runs = F.transform(F.sort_array(F.arrays_zip("counts", "tokens")), lambda x: x["tokens"])
+        prefix = F.slice(runs, 1, F.greatest(F.size("tokens") - F.ceil(F.col("size") * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
+        asked = sets.join(hard, "id", "left_semi").select(F.explode(prefix).alias("h"), F.col("id").alias("a"), F.size("tokens").alias("m"))
+        filed = sets.select(F.explode("tokens").alias("h"), F.col("id").alias("b"), F.size("tokens").alias("n"))
+        more = asked.join(filed, "h").where("n < m or (n = m and b < a)").select("a", "b")
+        rest = more if rest is None else rest.unionByName(more)
+    if rest is not None:
+        linked = components(links.unionByName(_verified(rest.distinct(), sets, threshold)), scratch)
     placed = members.join(linked, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group_id"))
     sizes = placed.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
     return placed.join(sizes, "group_id").select("group_id", "doc_id")
