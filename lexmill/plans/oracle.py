@@ -66,8 +66,8 @@ WITH {MODEL}, hits AS (SELECT doc_id, sum(norm_weight / sqrt(3::DOUBLE)) AS scor
 scored AS (SELECT doc_id, round(coalesce(score, 0), 9) AS score FROM documents LEFT JOIN hits USING (doc_id))
 SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10""",
     "most_similar_document": f"""
-WITH {PAIRS}, both_ AS (SELECT a, b, round(tf_sim, 6) AS t, round(tfidf_sim, 6) AS w FROM pairs
-UNION ALL SELECT b, a, round(tf_sim, 6), round(tfidf_sim, 6) FROM pairs),
+WITH {PAIRS}, both_ AS (SELECT a, b, round(tf_sim, 12) AS t, round(tfidf_sim, 12) AS w FROM pairs
+UNION ALL SELECT b, a, round(tf_sim, 12), round(tfidf_sim, 12) FROM pairs),
 t1 AS (SELECT a, b, t FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY t DESC, b) AS r FROM both_ WHERE t > 0) WHERE r = 1),
 w1 AS (SELECT a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM both_ WHERE w > 0) WHERE r = 1)
 SELECT doc_id, coalesce(t1.b, -1) AS tf_doc, coalesce(t, 0) AS tf_sim, coalesce(w1.b, -1) AS tfidf_doc, coalesce(w, 0) AS tfidf_sim

@@ -98,7 +98,7 @@ def ranked_query_top10(spark: SparkSession, d: str) -> DataFrame:
 def most_similar_document(spark: SparkSession, d: str) -> DataFrame:
     model = Scratch(spark).keep(_model(spark, d))
     none = F.lit(-1).cast("long")
-    found = vsm.most_similar(model, _docs(spark, d), digits=6)
+    found = vsm.most_similar(model, _docs(spark, d), digits=12)
     return found.select("doc_id", *(F.coalesce(c, none).alias(c) if c.endswith("doc") else c for c in found.columns[1:]))
 
 
