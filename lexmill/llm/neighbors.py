@@ -20,8 +20,8 @@ _U = np.uint64
 FIELDS = ("normalized_weight", "normalized_count")
 #: Dimensions of the projection, places that a term takes in it, dimensions of a 4-bit code.
 DIMENSIONS, PLACES, PART = 128, 4, 2
-#: Rows that centroids and codebooks are fitted on, at most; every row is indexed.
-SAMPLE = 65_536
+#: Rows that centroids are fitted on, at most and for each list; rows for the codebooks. Every row is indexed.
+SAMPLE, SAMPLE_OF_LIST, SAMPLE_OF_CODES = 65_536, 64, 6_144
 #: Rows of a list on average, lists that a query visits, index rows that are scanned at once.
 LIST, VISITED, BLOCK = 400, 3, 4096
 #: Candidates of a query in a block that are compared exactly, at most, and how far their estimate may fall short.
@@ -87,12 +87,12 @@ def fit(sample: np.ndarray, rows: int, seed: int = 7) -> Model:
     nearest = _nearest(sample, centroids, 1)[:, 0]
     counts = np.bincount(nearest, minlength=lists)
     blocks = np.maximum(np.ceil(counts * (rows / len(sample)) / BLOCK), 1).astype(np.int64)
-    part = rng.permutation(len(sample))[:16_384]
+    part = rng.permutation(len(sample))[:SAMPLE_OF_CODES]
     unit, residual = sample[part], sample[part] - centroids[nearest[part]]
     parts = DIMENSIONS // PART
     r, u = residual.reshape(-1, parts, PART), unit.reshape(-1, parts, PART)
     books = np.stack([r[rng.choice(len(r), 16, replace=len(r) < 16), m] for m in range(parts)]).astype(np.float32)
-    for _ in range(6):
+    for _ in range(4):
         codes = anisotropic_codes(residual, unit, books)
         chosen = np.stack([books[m][codes[:, m]] for m in range(parts)], 1)
         along = np.einsum("nmp,nmp->nm", r - chosen, u)
@@ -302,7 +302,7 @@ def nearest(
     reps = scratch.keep(all_rows.join(classes.select("field", F.col("id").alias("doc_id")), ["field", "doc_id"], "left_semi").select("field", "doc_id", "dense"))
     models = {}
     for field, n in reps.groupBy("field").count().collect():
-        share = min(1.0, SAMPLE * 0.95 / n)
+        share = min(1.0, min(SAMPLE, max(SAMPLE_OF_LIST * n / LIST, SAMPLE_OF_CODES)) * 0.95 / n)
         chosen = reps.where((F.col("field") == field) & (F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000)))
         sample = _dense(chosen.select("dense").limit(SAMPLE).toArrow().column(0).combine_chunks())
         models[field] = fit(sample, n)
