@@ -46,7 +46,7 @@ def articles(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     without an opening one ends nothing, an article that is not closed is left out, null lines are empty."""
     line = F.coalesce(F.col("line"), F.lit(""))
     closes = F.when(line.startswith("</REUTERS>"), 1).otherwise(0)
-    counted = _running(lines.withColumn("line", line), closes, "_closed", "sum", block)
+    counted = _running(lines.select("path", "line_no", line.alias("line")), closes, "_closed", "sum", block)
     numbered = counted.withColumn("article", (F.col("_closed") - closes).cast("long")).drop("_closed")
     opens = F.when(F.col("line").startswith("<REUTERS "), F.col("line_no"))
     ends = F.when(F.col("line").startswith("</REUTERS>"), F.col("line_no"))

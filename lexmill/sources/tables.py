@@ -58,3 +58,11 @@ def small(rows: DataFrame, most_rows: int) -> DataFrame:
     """``rows`` with a broadcast hint if a count proves it to have at most ``most_rows``; else as it is, for
     Spark to shuffle. Give a kept table: its count comes from the file footers."""
     return F.broadcast(rows) if rows.count() <= most_rows else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A small kept table in as many parts as keep all cores busy, for steps that compute much for each row. A number
+    is given, else Spark would join parts by their size."""
+    spark = rows.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, key)
