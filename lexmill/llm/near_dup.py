@@ -15,7 +15,7 @@ from lexmill.functions.text import process_lines
 from lexmill.llm.bags import MOST_IDS
 from lexmill.llm.components import components
 from lexmill.llm.hashing import fold_copies, mix
-from lexmill.sources.tables import Scratch, small
+from lexmill.sources.tables import Scratch, small, spread
 
 _U = np.uint64
 
@@ -55,9 +55,8 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 def article_texts(articles: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, text, lines)``: of each article the processed text or, where that is null, the lines it is made of.
     Of repeated rows the newest hold; rows without either are left out."""
-    rows = articles.where("doc_id is not null and (processed_text is not null or text_lines is not null)").withColumn(
-        "_at", F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp"))
-    )
+    at = F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp")).alias("_at")
+    rows = articles.where("doc_id is not null and (processed_text is not null or text_lines is not null)").select("doc_id", "processed_text", "text_lines", at)
     repeated = scratch.keep(rows.groupBy("doc_id").agg(F.max("_at").alias("_newest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     newest = rows.join(small(repeated, MOST_IDS), "doc_id", "left").where("_newest is null or _newest = _at")
     lines = F.when(F.col("processed_text").isNull(), F.col("text_lines"))
@@ -237,7 +236,7 @@ def _keys(sets: DataFrame, partitions: Partitions) -> DataFrame:
             columns = [pa.array(x) for x in (kind.astype(np.int32), key, ids[r], n[r].astype(np.int32), sizes[r].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "id", "n", "size"])
 
-    return sets.select("id", "size", "tokens", "counts").mapInArrow(run, "kind int, key long, id long, n int, size int")
+    return spread(sets.select("id", "size", "tokens", "counts"), "id").mapInArrow(run, "kind int, key long, id long, n int, size int")
 
 
 def _meet(keys: DataFrame, threshold: float) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.bags import MOST_IDS
 from lexmill.llm.hashing import mix
-from lexmill.sources.tables import Scratch, small
+from lexmill.sources.tables import Scratch, small, spread
 
 _U = np.uint64
 FIELDS = ("normalized_weight", "normalized_count")
@@ -259,7 +259,7 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranke
                         a, b = np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block % 2, np.int32)), pa.array(a), pa.array(b)], ["field", "a", "b"])
 
-    rows = reps.select("field", "doc_id", "dense").mapInArrow(assign, "block long, side int, id long, data binary")
+    rows = spread(reps.select("field", "doc_id", "dense"), "doc_id").mapInArrow(assign, "block long, side int, id long, data binary")
     sorted_rows = rows.repartition("block").sortWithinPartitions("block", "side")
     return sorted_rows.mapInArrow(scan, "field int, a long, b long").distinct()
 

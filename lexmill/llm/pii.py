@@ -105,7 +105,7 @@ class Undisguised:
 
 
 _cap = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
-EMAIL = re.compile(r"[A-Za-z0-9][\w.+-]*[ \t]?\n?@\s?(?=[A-Za-z])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
+EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}[ \t]?\n?@\s?(?=[A-Za-z])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
 ID_NUMBER = re.compile(
     r"\b(?:SSN|social security(?: number| no\.?)?)[\s:#]*\d{3}[- ]?\d{2}[- ]?\d{4}\b"
     r"|(?<![\w./-])\d{3}([- \n])\d{2}\1\d{4}(?![\w/-]|[.,]\d)|(?<![\w./-])\d{3}[-\s]\d{2}[-\s]\d{4}(?![\w/-]|[.,]\d)"

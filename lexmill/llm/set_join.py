@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.hashing import mix
-from lexmill.sources.tables import Scratch
+from lexmill.sources.tables import Scratch, spread
 
 _U = np.uint64
 #: A node of at most so many records is compared pair by pair, a larger one is split further.
@@ -99,7 +99,7 @@ def _paths(sets: DataFrame, common: np.ndarray, threshold: float, trees: int, de
                         [pa.array(path.view(np.int64)), pa.array(ids[owner]), pa.array(sketch[owner].view(np.int64))], ["path", "id", "sketch"]
                     )
 
-    return sets.select("id", "tokens").mapInArrow(run, "path long, id long, sketch long")
+    return spread(sets.select("id", "tokens"), "id").mapInArrow(run, "path long, id long, sketch long")
 
 
 def _deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, threshold: float, depth: int, seed: int, all_tokens: bool) -> DataFrame:
