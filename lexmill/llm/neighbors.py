@@ -62,10 +62,11 @@ def anisotropic_codes(residual: np.ndarray, unit: np.ndarray, codebooks: np.ndar
     for turn in range(rounds):
         total = along.sum(1)
         for m in range(parts):
-            error = r[:, m, None, :] - codebooks[m][None]
-            part = np.einsum("nkp,np->nk", error, u[:, m])
-            rest = (total - along[:, m])[:, None]
-            cost = (error**2).sum(2) + (PARALLEL - 1) * ((rest + part) ** 2 if turn else part**2)
+            book = codebooks[m].astype(np.float32)
+            part = (r[:, m] * u[:, m]).sum(1)[:, None] - u[:, m] @ book.T
+            cost = (book**2).sum(1)[None] - 2 * (r[:, m] @ book.T)
+            rest = (total - along[:, m])[:, None] if turn else 0.0
+            cost += (PARALLEL - 1) * (rest + part) ** 2
             codes[:, m] = best = cost.argmin(1)
             new = part[np.arange(n), best]
             total += new - along[:, m]
