@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,65 @@ def unpack_bits(data: Column) -> Column:
     """Bit string of bytes. Zeros that pad the last byte form no code word."""
     digits = F.regexp_extract_all(F.hex(data), F.lit("[0-9A-F]"), 0)
     return F.array_join(F.transform(digits, lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
+
+
+def _pack(lists: list[np.ndarray]) -> list[bytes]:
+    """Packed code words of the deltas of many lists: the digits of all values are found number by number."""
+    sizes = [len(x) for x in lists]
+    ids = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes else np.zeros(0, np.int64)
+    starts = np.cumsum([0, *sizes])
+    rest = np.diff(ids, prepend=0)
+    heads = starts[:-1][np.array(sizes, np.int64) > 0]
+    rest[heads] = ids[heads]
+    if len(rest) and (rest.min() < 1 or rest.max() > LARGEST):
+        raise ValueError("ids must ascend from 1 on, in steps that have a code")
+    numbers = fibonacci_numbers()
+    digits = np.zeros((len(rest), len(numbers) + 1), np.uint8)
+    highest = np.zeros(len(rest), np.int64)
+    for k in range(len(numbers) - 1, -1, -1):
+        fits = rest >= numbers[k]
+        digits[fits, k] = 1
+        rest[fits] -= numbers[k]
+        highest = np.where(fits & (highest == 0), k + 1, highest)
+    digits[np.arange(len(rest)), highest] = 1
+    kept = np.arange(digits.shape[1])[None] <= highest[:, None]
+    bits, ends = digits[kept], np.r_[0, np.cumsum(highest + 1)][starts]
+    return [np.packbits(bits[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    """Ids of packed code words. In a run of ones every second one ends a code word; zeros at the end form none."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+    at = np.arange(len(bits))
+    before = np.maximum.accumulate(np.where(bits, -1, at)) if len(bits) else at
+    ends = np.flatnonzero(bits & ((at - before) % 2 == 0))
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    numbers = np.array(fibonacci_numbers(), np.int64)
+    starts = np.r_[0, ends[:-1] + 1]
+    used = np.flatnonzero(bits[: ends[-1] + 1])
+    used = used[~np.isin(used, ends)]
+    word = np.searchsorted(ends, used)
+    values = np.zeros(len(ends), np.int64)
+    np.add.at(values, word, numbers[used - starts[word]])
+    return np.cumsum(values)
+
+
+def encode_packed(ids: Column) -> Column:
+    """Bytes of an ascending id list, ``pack_bits`` of ``encode_ids``, for long lists: Arrow batches, all digits at once."""
+
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series(_pack([x if x is not None else np.zeros(0, np.int64) for x in lists]), index=lists.index, dtype=object).where(lists.notna(), None)
+
+    return run(ids)
+
+
+def decode_packed(codes: Column) -> Column:
+    """Ids of those bytes."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else _unpack(x))
+
+    return run(codes)

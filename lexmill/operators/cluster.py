@@ -18,7 +18,9 @@ def seeds(docs: DataFrame, k: int) -> DataFrame:
 
 
 def seed_centroids(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(cluster, term, c)``: the vectors of the seed documents."""
+    """``(cluster, term, c)``: the vectors of the seed documents. Their few ids become a filter that reaches the scan."""
+    ids = [r.doc_id for r in chosen.select("doc_id").collect()]
+    vectors = vectors.where(F.col("doc_id").isin(ids))
     return vectors.join(F.broadcast(chosen), "doc_id").select("cluster", "term", F.col("v").alias("c"))
 
 

@@ -35,7 +35,7 @@ def postings(docs: DataFrame, stop: DataFrame | None = None, stemmed: bool = Fal
     The binary form without stop words and stems needs no shuffle: distinct terms are taken within each document.
     """
     if tf == "binary" and stop is None and not stemmed:
-        terms = F.array_distinct(F.filter(T.words(F.col("text")), T.is_term))
+        terms = F.array_distinct(T.terms(F.col("text")))
         return docs.select("doc_id", F.explode(terms).alias("term"), F.lit(1).cast("long").alias("tf"))
     counts = term_counts(tokens(docs, stop, stemmed))
     return counts if tf == "count" else counts.withColumn("tf", F.lit(1).cast("long"))

@@ -31,12 +31,12 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return vsm.vector_model(index.postings(docs), docs.count())
+    return vsm.vector_model(Scratch(spark).keep(index.postings(docs)), docs.count())
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Binary term weights over the number of the document's terms, which needs no other document."""
-    terms = F.array_distinct(F.filter(text.words(F.col("text")), text.is_term))
+    terms = F.array_distinct(text.terms(F.col("text")))
     rows = _docs(spark, d).select("doc_id", terms.alias("terms")).where(F.size("terms") > 0)
     return rows.select("doc_id", F.explode("terms").alias("term"), (1 / F.size("terms")).alias("v"))
 
@@ -46,8 +46,7 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    words = text.words(F.col("text"))
-    terms = F.filter(words, text.is_term)
+    words, terms = text.words(F.col("text")), text.terms(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(words).alias("n_words"), F.size(terms).alias("n_terms")).where("n_words >= 0")
 
 
@@ -156,7 +155,7 @@ def compressed_index(spark: SparkSession, d: str) -> DataFrame:
     """The index through its compressed form and back: ids are coded from 1 on."""
     rows = _postings(spark, d).withColumn("doc_id", F.col("doc_id") + 1)
     records = index_files.compressed_records(index.inverted_index(rows))
-    decoded = codec.decode_ids(codec.unpack_bits(F.col("codes")))
+    decoded = codec.decode_packed(F.col("codes"))
     return records.select("term", "n", F.array_join(decoded.cast("array<string>"), ",").alias("ids"))
 
 

@@ -38,7 +38,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def compressed_records(index: DataFrame) -> DataFrame:
     """``(term, n, codes)``: the number of ids and the packed Fibonacci codes of their deltas. Ids must be from 1 on."""
-    return index.select("term", F.size("doc_ids").alias("n"), codec.pack_bits(codec.encode_ids(F.sort_array("doc_ids"))).alias("codes"))
+    return index.select("term", F.size("doc_ids").alias("n"), codec.encode_packed(F.sort_array("doc_ids")).alias("codes"))
 
 
 def write_compressed(index: DataFrame, path: str) -> None:
@@ -68,7 +68,7 @@ def read_compressed(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32()), pa.array(codes, pa.binary())], ["term", "n", "codes"])
 
     records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "term string, n int, codes binary")
-    return records.select(F.explode(codec.decode_ids(codec.unpack_bits(F.col("codes")))).alias("doc_id"), "term", F.lit(1).cast("long").alias("tf"))
+    return records.select(F.explode(codec.decode_packed(F.col("codes"))).alias("doc_id"), "term", F.lit(1).cast("long").alias("tf"))
 
 
 def write_processed(docs: DataFrame, path: str) -> None:

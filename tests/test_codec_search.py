@@ -42,6 +42,20 @@ def test_stream_round_trip(spark):
         assert r.ids == r.back
 
 
+@given(st.lists(st.lists(st.integers(1, 200_000), unique=True, max_size=60).map(sorted), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_packed(lists):
+    packed = codec._pack(lists)
+    assert [codec._unpack(x).tolist() for x in packed] == lists
+
+
+def test_packed_columns(spark):
+    rows = spark.createDataFrame([([1, 20, 50, 813],), ([],), (None,), ([1, 2, 3, 4, 5, 6],)], "ids array<long>")
+    one, other = codec.encode_packed(F.col("ids")), codec.pack_bits(codec.encode_ids(F.col("ids")))
+    for r in rows.select("ids", one.alias("a"), other.alias("b"), codec.decode_packed(one).alias("back")).collect():
+        assert r.back == r.ids and (r.ids is None or r.a == r.b)
+
+
 def test_bad_code(spark):
     rows = spark.createDataFrame([("10",), ("",), ("0110",), (None,)], "c string")
     assert [r.v for r in rows.select(codec.fibonacci_decode(F.col("c")).alias("v")).collect()] == [None] * 4

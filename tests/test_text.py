@@ -62,6 +62,12 @@ def test_is_term(spark):
     assert text.is_term_word("oil") and not text.is_term_word("1980") and not text.is_term_word(None)
 
 
+def test_terms(spark):
+    rows = spark.createDataFrame([("Oil 1980 19x, ab abc 123 4567z x",), ("",), (None,), ("12 345",)], "t string")
+    for r in rows.select("t", text.terms(F.col("t")).alias("a"), F.filter(text.words(F.col("t")), text.is_term).alias("b")).collect():
+        assert r.a == r.b and (r.t is None) == (r.a is None)
+
+
 def test_stop_filter(spark):
     rows, stop = spark.createDataFrame([("the",), ("oil",), ("oil",)], "word string"), spark.createDataFrame([("the",), ("the",)], "word string")
     assert [r.word for r in text.stop_filter(rows, stop).collect()] == ["oil", "oil"]
