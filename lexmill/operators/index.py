@@ -12,10 +12,17 @@ from lexmill.functions.stem import stem, stem_word
 MOST_WORDS = 2_000_000
 
 
+def exploded(docs: DataFrame, values: Column, name: str) -> DataFrame:
+    """``(doc_id, name)``: one row per value of each document. The outer form, as for the inner one Spark would filter by
+    the size of the array first and compute the dear expression again for it."""
+    rows = docs.select("doc_id", F.explode_outer(values).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def tokens(docs: DataFrame, stop: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """``(doc_id, word)``: one row per word of each text, stop words removed before stemming, empty words left out.
     Null and empty texts give no rows."""
-    rows = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    rows = exploded(docs, T.words(F.col("text")), "word")
     if stop is not None:
         rows = T.stop_filter(rows, stop)
     if stemmed:  # each distinct word is stemmed once
@@ -35,8 +42,7 @@ def postings(docs: DataFrame, stop: DataFrame | None = None, stemmed: bool = Fal
     The binary form without stop words and stems needs no shuffle: distinct terms are taken within each document.
     """
     if tf == "binary" and stop is None and not stemmed:
-        terms = F.array_distinct(T.terms(F.col("text")))
-        return docs.select("doc_id", F.explode(terms).alias("term"), F.lit(1).cast("long").alias("tf"))
+        return exploded(docs, F.array_distinct(T.terms(F.col("text"))), "term").withColumn("tf", F.lit(1).cast("long"))
     counts = term_counts(tokens(docs, stop, stemmed))
     return counts if tf == "count" else counts.withColumn("tf", F.lit(1).cast("long"))
 

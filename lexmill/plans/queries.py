@@ -36,9 +36,9 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Binary term weights over the number of the document's terms, which needs no other document."""
-    terms = F.array_distinct(text.terms(F.col("text")))
-    rows = _docs(spark, d).select("doc_id", terms.alias("terms")).where(F.size("terms") > 0)
-    return rows.select("doc_id", F.explode("terms").alias("term"), (1 / F.size("terms")).alias("v"))
+    rows = _docs(spark, d).select("doc_id", F.array_distinct(text.terms(F.col("text"))).alias("terms"))
+    flat = rows.select("doc_id", (1 / F.size("terms")).alias("v"), F.explode_outer("terms").alias("term"))
+    return flat.where("term is not null").select("doc_id", "term", "v")
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_assignment(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs, vectors = _docs(spark, d), _vectors(spark, d)
+    docs, vectors = _docs(spark, d), Scratch(spark).keep(_vectors(spark, d))
     return vectors, cluster.assign(vectors, cluster.seed_centroids(vectors, cluster.seeds(docs, CLUSTERS)), docs)
 
 
@@ -127,7 +127,8 @@ def kmeans_quality_iter1(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means with ten clusters until nothing changes, at most ten rounds."""
-    found = cluster.k_means(_vectors(spark, d), _docs(spark, d), Scratch(spark), most_rounds=10)
+    scratch = Scratch(spark)
+    found = cluster.k_means(scratch.keep(_vectors(spark, d)), _docs(spark, d), scratch, most_rounds=10)
     return found.assigned.select("doc_id", "cluster")
 
 
