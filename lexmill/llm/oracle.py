@@ -18,6 +18,24 @@ stats AS (SELECT term, sum(tf) AS occurrences, count(*) AS records FROM bag GROU
 """
 
 SQL: dict[str, str] = {
+    "p1_found": """
+WITH v AS (SELECT doc_id, term, max(CASE WHEN isnan(normalized_weight) THEN 0 ELSE coalesce(normalized_weight, 0) END)::DOUBLE AS w,
+           max(CASE WHEN isnan(normalized_count) THEN 0 ELSE coalesce(normalized_count, 0) END)::DOUBLE AS c
+           FROM term_document_info WHERE term IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id, term),
+f AS (SELECT 'normalized_weight' AS field, doc_id, term, w AS x FROM v WHERE w <> 0
+      UNION ALL SELECT 'normalized_count', doc_id, term, c FROM v WHERE c <> 0),
+norms AS (SELECT field, doc_id, sum(x * x) AS m FROM f GROUP BY field, doc_id),
+dots AS (SELECT a.field, a.doc_id AS d, b.doc_id AS o, sum(a.x * b.x) AS s
+         FROM f a JOIN f b ON a.field = b.field AND a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3),
+sims AS (SELECT dots.field, d, o, round(s / sqrt(p.m * q.m), 6) AS sim FROM dots
+         JOIN norms p ON p.field = dots.field AND p.doc_id = d JOIN norms q ON q.field = dots.field AND q.doc_id = o),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY field, d ORDER BY sim DESC, o) AS r FROM sims WHERE sim >= 0.9)
+SELECT DISTINCT field, least(d, o) AS doc_a, greatest(d, o) AS doc_b FROM ranked WHERE r <= 5""",
+    "p2_found": f"""
+WITH {BAG},
+sizes AS (SELECT doc_id, count(*) AS n FROM bag GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM bag a JOIN bag b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b FROM pairs JOIN sizes p ON p.doc_id = doc_a JOIN sizes q ON q.doc_id = doc_b WHERE 10 * c >= 7 * (p.n + q.n - c)""",
     "p3_found": f"""
 WITH {BAG},
 scored AS (SELECT doc_id, term, round(tf * log10(n::DOUBLE / records), 9) AS score FROM bag JOIN stats USING (term), total),
