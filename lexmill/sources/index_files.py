@@ -81,6 +81,12 @@ def article_block(lines: Column) -> Column:
     return F.concat(F.lit("\n-------- ARTICLE --------\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit("------- END OF ARTICLE -----\n"))
 
 
+def write_article_blocks(articles: DataFrame, path: str) -> None:
+    """The blocks of ``articles (doc_id, lines)``, by id, in files that follow each other."""
+    block = F.regexp_replace(article_block(F.col("lines")), "\n$", "")  # the sink ends each row with a line feed
+    articles.orderBy("doc_id").select(block.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_similarities(report: DataFrame, path: str) -> None:
     """``Document;TF_MostSimilar;TF_Sim;TF_IDF_MostSimilar;TF_IDF_Sim``, values with six significant digits."""
     six = lambda c: F.format_string("%.6g", F.col(c))

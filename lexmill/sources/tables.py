@@ -66,3 +66,11 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     spark = rows.sparkSession
     parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(parts, key)
+
+
+def without_hot_repeats(rows: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """``rows``; if repeats give one key more than ``most`` of them, without repeats, which Spark drops within each task
+    before the shuffle. Only worth its second shuffle then, so a count of the key column decides; steps that
+    follow drop repeats anyway, and their result is the same."""
+    hot = rows.groupBy(key).count().where(F.col("count") > most).limit(1).count()
+    return rows.distinct() if hot else rows

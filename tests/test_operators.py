@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text
 from lexmill.operators import cluster, index, vector_model as vsm
 from lexmill.sources import index_files, sgml
+from lexmill.sources.tables import without_hot_repeats
 from lexmill.streaming.ingest import stream_postings
 
 TEXTS = {1: "oil prices rose oil", 2: "wheat prices fell", 3: "oil and wheat and gas", 4: "", 5: None, 6: "gas gas gas pipeline"}
@@ -167,6 +168,10 @@ def test_sinks(spark, docs, tmp_path):
     index_files.write_processed(done, str(tmp_path / "docs"))
     assert spark.read.text(str(tmp_path / "docs")).count() >= 4
     block = spark.createDataFrame([(["x", "y"],)], "l array<string>").select(index_files.article_block(F.col("l")).alias("b")).first().b
+    lines = spark.createDataFrame([(2, ["z"]), (1, ["x", "y"])], "doc_id long, lines array<string>")
+    index_files.write_article_blocks(lines.coalesce(1), str(tmp_path / "blocks"))
+    whole = "".join(r.value for r in spark.read.text(str(tmp_path / "blocks"), wholetext=True).collect())
+    assert whole.startswith(block) and whole.count("ARTICLE -----\n") >= 2
     assert block == "\n-------- ARTICLE --------\nx\ny\n------- END OF ARTICLE -----\n"
 
 
@@ -181,6 +186,11 @@ def test_stop_word_file_and_stream(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == index.postings(docs).count()
 
 
+def test_hot_repeats(spark):
+    rows = spark.createDataFrame([(1, "a")] * 30 + [(2, "b"), (2, "b")], "doc_id long, term string")
+    assert without_hot_repeats(rows, "doc_id", 40).count() == 32 and without_hot_repeats(rows, "doc_id", 20).count() == 2
+
+
 def test_stemmed(spark, docs):
     got = {r.term for r in index.postings(docs, stemmed=True).collect()}
     assert {"price", "oil", "wheat"} <= got and "prices" not in got
