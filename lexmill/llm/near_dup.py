@@ -224,7 +224,7 @@ def _keys(sets: DataFrame, partitions: Partitions) -> DataFrame:
     """``(kind, key, id, n, size)``: the keys under which each set is filed and those that it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):  # bounds the memory
             ids, sizes, runs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
             n = np.diff(runs.offsets.to_numpy()).astype(np.int64)
             h, record = runs.flatten().to_numpy().view(_U), np.repeat(np.arange(len(ids)), n)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.bags import MOST_IDS
 from lexmill.llm.hashing import mix
-from lexmill.sources.tables import Scratch, small, spread
+from lexmill.sources.tables import Scratch, small, spread, without_hot_repeats
 
 _U = np.uint64
 FIELDS = ("normalized_weight", "normalized_count")
@@ -178,7 +178,8 @@ def vectors(rows: DataFrame, sparse: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["field", "doc_id", "digest", "dense"])
 
     shape = "terms array<long>, values array<double>" if sparse else "digest binary, dense binary"
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "term").mapInArrow(run, f"field int, doc_id long, {shape}")
+    calm = without_hot_repeats(rows, "doc_id")
+    return calm.repartition("doc_id").sortWithinPartitions("doc_id", "term").mapInArrow(run, f"field int, doc_id long, {shape}")
 
 
 def _dense(column: pa.Array) -> np.ndarray:
