@@ -182,10 +182,9 @@ def regex_match(spark: SparkSession, d: str) -> DataFrame:
 def embedding_distance(spark: SparkSession, d: str) -> DataFrame:
     """Dot product and distance of each vector and the first one."""
     rows = table(spark, d, "embeddings")
-    first = F.broadcast(rows.where("vec_id = 0").select(F.col("embedding").alias("other")))
-    both = rows.join(first, F.lit(True))
-    a, b = F.col("embedding"), F.col("other")
-    return both.select("vec_id", F.round(cluster.array_dot(a, b), 6).alias("dot"), F.round(cluster.array_distance(a, b), 6).alias("distance"))
+    first = rows.where("vec_id = 0").first()
+    a, b = F.col("embedding"), F.lit(list(first.embedding) if first else []).cast("array<double>")
+    return rows.select("vec_id", F.round(cluster.array_dot(a, b), 6).alias("dot"), F.round(cluster.array_distance(a, b), 6).alias("distance"))
 
 
 def sgml_articles(spark: SparkSession, d: str) -> DataFrame:
