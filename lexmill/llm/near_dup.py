@@ -15,7 +15,7 @@ from lexmill.functions.text import process_lines
 from lexmill.llm.bags import MOST_IDS
 from lexmill.llm.components import components
 from lexmill.llm.hashing import fold_copies, mix
-from lexmill.sources.tables import Scratch, small, spread
+from lexmill.sources.tables import Scratch, small
 
 _U = np.uint64
 
@@ -216,12 +216,14 @@ class Partitions:
 #: Rows of one key that are compared pair by pair at once; beyond it a key is large and meets by leaders first.
 LARGE_KEY = 400
 INDEX, PROBE, HARD = 0, 1, 2
+_LOW = (1 << 30) - 1
 PAIR, MORE = 3, 4
 _meeting = "kind int, key long, id long, n int, size int, other long"
 
 
 def _keys(sets: DataFrame, partitions: Partitions) -> DataFrame:
-    """``(kind, key, id, n, size)``: the keys under which each set is filed and those that it asks for."""
+    """``(key, packed, id)``: the keys under which each set is filed and those that it asks for; ``packed`` holds the kind,
+    the number of shared tokens and that of all, in this order, and so sorts by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):  # bounds the memory
@@ -233,10 +235,10 @@ def _keys(sets: DataFrame, partitions: Partitions) -> DataFrame:
             r = np.r_[filed[0], asked[0], hard]
             kind = np.repeat([INDEX, PROBE, HARD], [len(filed[0]), len(asked[0]), len(hard)])
             key = np.r_[filed[1], asked[1], mix(ids[hard].view(_U))].view(np.int64)
-            columns = [pa.array(x) for x in (kind.astype(np.int32), key, ids[r], n[r].astype(np.int32), sizes[r].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "id", "n", "size"])
+            packed = (kind.astype(np.int64) << 60) | (n[r] << 30) | sizes[r]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, packed, ids[r])], ["key", "packed", "id"])
 
-    return spread(sets.select("id", "size", "tokens", "counts"), "id").mapInArrow(run, "kind int, key long, id long, n int, size int")
+    return sets.select("id", "size", "tokens", "counts").mapInArrow(run, "key long, packed long, id long")
 
 
 def _meet(keys: DataFrame, threshold: float) -> DataFrame:
@@ -263,13 +265,16 @@ def _meet(keys: DataFrame, threshold: float) -> DataFrame:
         b = np.repeat(edges[group[p]], count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
         ok = fits(a, b, ids, n, size)
         a, b = a[ok], b[ok]
-        return batch_of(PAIR, key[a], ids[a], n[a], size[a], ids[b])
+        zero = np.zeros(len(a), np.int64)  # columns that a pair has no use for
+        return batch_of(PAIR, zero, ids[a], zero, zero, ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int32, np.int32)]
+        held = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64)]
         large, leader = None, None
         for batch in batches:
-            rows = [np.r_[x, batch.column(i).to_numpy()] for i, x in enumerate(held)]
+            new_key, packed, new_ids = (batch.column(i).to_numpy() for i in range(3))
+            fresh = ((packed >> 60).astype(np.int32), new_key, new_ids, packed >> 30 & _LOW, packed & _LOW)
+            rows = [np.r_[x, y] for x, y in zip(held, fresh, strict=True)]
             kind, key = rows[0], rows[1]
             if not len(key):
                 continue
@@ -302,7 +307,7 @@ def _meet(keys: DataFrame, threshold: float) -> DataFrame:
         if len(held[1]):
             yield all_of(held)
 
-    rows = keys.repartition("key").sortWithinPartitions("key", "kind", "n", "id")
+    rows = keys.repartition("key").sortWithinPartitions("key", "packed", "id")
     return rows.mapInArrow(run, _meeting)
 
 
