@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.sources.tables import Scratch
+from lexmill.sources.tables import Scratch, small
 
 _U = np.uint64
+#: Distinct sets up to which their names are sent to all executors (12 MB); else their records are shuffled.
+MOST_SETS = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,6 +34,7 @@ def fold_copies(rows: DataFrame, scratch: Scratch, whole: Column | None = None)
         )
     )
     first = scratch.keep(kept.groupBy("h", "g", "n").agg(F.min("doc_id").alias("id")))
+    first = small(first, MOST_SETS)
     members = scratch.keep(kept.select("doc_id", "h", "g", "n").join(first, ["h", "g", "n"]).select("doc_id", "id"))
     sets = kept.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "tokens", *more)
     return scratch.keep(sets), members
