@@ -23,7 +23,7 @@ DIMENSIONS, PLACES, PART = 128, 4, 2
 #: Rows that centroids are fitted on, at most and for each list; rows for the codebooks. Every row is indexed.
 SAMPLE, SAMPLE_OF_LIST, SAMPLE_OF_CODES = 65_536, 64, 6_144
 #: Rows of a list on average, lists that a query visits, index rows that are scanned at once.
-LIST, VISITED, BLOCK = 400, 3, 4096
+LIST, VISITED, BLOCK = 1000, 6, 4096
 #: Candidates of a query in a block that are compared exactly, at most, and how far their estimate may fall short.
 RERANKED, SLACK = 64, 0.15
 #: Weight of the residual's part along the vector against that across it.
