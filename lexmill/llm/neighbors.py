@@ -22,9 +22,12 @@ FIELDS = ("normalized_weight", "normalized_count")
 DIMENSIONS, PLACES, PART = 128, 4, 2
 #: Rows that centroids are fitted on, at most and for each list; rows for the codebooks. Every row is indexed.
 SAMPLE, SAMPLE_OF_LIST, SAMPLE_OF_CODES = 65_536, 64, 6_144
-#: Rows of a list on average, lists that a query visits, index rows that are scanned at once.
+#: Rows of a list on average, lists that a query visits at least, index rows that are scanned at once.
 LIST, VISITED, BLOCK = 1000, 6, 4096
-#: Candidates of a query in a block that are compared exactly, at most, and how far their estimate may fall short.
+#: Standard deviations of the part of a neighbour's offset that points to another list; lists within them are visited.
+REACH = 2.5
+#: Candidates of a query in a block up to which they are verified as pairs, beyond which the query is compared exactly
+#: with the whole block; how far their estimate may fall short.
 RERANKED, SLACK = 64, 0.15
 #: Weight of the residual's part along the vector against that across it.
 PARALLEL = 4.0
@@ -121,6 +124,28 @@ def _nearest(rows: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _visited(rows: np.ndarray, centroids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest list of each row, and ``(row, list)`` of all that it visits: the ``VISITED`` nearest, and every other
+    that a vector with a cosine of ``least`` to the row may be filed in. Such a one lies off by at most the sine of their
+    angle, and for it to be in another list, that offset must cross the plane between the two centroids; its part in the
+    direction between them has a deviation of 1 / sqrt(``DIMENSIONS``). A group that takes up many lists has all of them visited."""
+    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))
+    reach = REACH * math.sqrt(max(1 - least * least, 0.0) / DIMENSIONS)
+    home, who, lists = [], [], []
+    for at in range(0, len(rows), 4096):
+        part = rows[at : at + 4096]
+        nearest = _nearest(part, centroids, VISITED)
+        score = part @ centroids.T
+        best = nearest[:, 0]
+        near = score[np.arange(len(part)), best][:, None] - score <= reach * apart[best]
+        np.put_along_axis(near, nearest, True, 1)
+        r, c = np.nonzero(near)
+        home.append(best)
+        who.append(r + at)
+        lists.append(c)
+    return np.concatenate(home), np.concatenate(who), np.concatenate(lists)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
     """Whole runs of equal values of a sorted column: columns of a batch up to its last, open run, which is held."""
     held = None
@@ -189,10 +214,11 @@ def _dense(column: pa.Array) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
-def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranked: int) -> DataFrame:
-    """``(field, a, b)``, a < b: pairs whose estimated similarity reaches ``least``, at most ``reranked`` of a query in
-    a block. A row is filed with its codes in one block of its nearest list and asks all blocks of the lists it
-    visits; blocks stream through one after the other."""
+def _candidates(reps: DataFrame, models: dict[int, Model], least: float, slack: float, reranked: int) -> DataFrame:
+    """``(field, a, b)``, a < b: pairs whose estimated similarity reaches ``least - slack``. A query with more than
+    ``reranked`` of them in a block gives ``(field, a, null, block)`` instead, and each row that is filed in such a block
+    ``(field, null, b, block)``, for ``_whole_blocks``. A row is filed with its codes in one block of its nearest list
+    and asks all blocks of the lists it visits; blocks stream through one after the other."""
     sent = reps.sparkSession.sparkContext.broadcast(models)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +229,14 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranke
                 if not len(at):
                     continue
                 name, dense = ids[at], _dense(batch.column(2).take(pa.array(at)))
-                visited = _nearest(dense, model.centroids, VISITED)
+                own, who, visited = _visited(dense, model.centroids, least)
                 base = np.r_[0, np.cumsum(model.blocks)]
-                codes = anisotropic_codes(dense - model.centroids[visited[:, 0]], dense, model.codebooks)
+                codes = anisotropic_codes(dense - model.centroids[own], dense, model.codebooks)
                 packed = (codes[:, ::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
-                home = base[visited[:, 0]] + (mix(name.view(_U)) % model.blocks[visited[:, 0]].astype(_U)).astype(np.int64)
-                times = model.blocks[visited].ravel()
-                who = np.repeat(np.repeat(np.arange(len(name)), visited.shape[1]), times)
-                asked = np.repeat(base[visited].ravel(), times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                home = base[own] + (mix(name.view(_U)) % model.blocks[own].astype(_U)).astype(np.int64)
+                times = model.blocks[visited]
+                who = np.repeat(who, times)
+                asked = np.repeat(base[visited], times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 raw = batch.column(2).take(pa.array(at))
                 group = np.r_[home, asked] * 2 + field
                 side = np.repeat([0, 1], [len(home), len(asked)]).astype(np.int32)
@@ -218,7 +244,7 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranke
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(side), pa.array(np.r_[name, name[who]]), data], ["block", "side", "id", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, filed, decoded = None, None, None
+        block, filed, decoded, opened = None, None, None, False
         waiting: list[pa.RecordBatch] = []
 
         def decode() -> np.ndarray:
@@ -232,12 +258,18 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranke
             base = np.r_[0, np.cumsum(model.blocks)]
             return values + model.centroids[np.searchsorted(base, block // 2, side="right") - 1]
 
+        def found(a: np.ndarray | None, b: np.ndarray | None, whole: bool) -> pa.RecordBatch:
+            n = len(b if a is None else a)
+            names = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b)]
+            at = pa.array(np.full(n, block)) if whole else pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block % 2, np.int32)), *names, at], ["field", "a", "b", "block"])
+
         for batch in batches:
             key, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]), True]) if len(key) else []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if key[s] != block:
-                    block, filed, decoded, waiting = int(key[s]), None, None, []
+                    block, filed, decoded, opened, waiting = int(key[s]), None, None, False, []
                 part = batch.slice(s, e - s)
                 if side[s] == 0:
                     waiting.append(part)
@@ -251,19 +283,75 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, reranke
                     asking = chunk.column(2).to_numpy()
                     score = _dense(chunk.column(3)) @ decoded.T
                     score[asking[:, None] == filed[None]] = -2
-                    q, x = np.nonzero(score >= least)
-                    if len(q) and np.bincount(q).max() > reranked:
-                        order = np.lexsort((filed[x], -score[q, x], q))
-                        q, x = q[order], x[order]
-                        rank = np.arange(len(q)) - np.searchsorted(q, q)
-                        q, x = q[rank < reranked], x[rank < reranked]
+                    close = score >= least - slack
+                    many = close.sum(1) > reranked
+                    if many.any():
+                        if not opened:
+                            yield found(None, filed, True)
+                        opened = True
+                        yield found(asking[many], None, True)
+                        close[many] = False
+                    q, x = np.nonzero(close)
                     if len(q):
-                        a, b = np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block % 2, np.int32)), pa.array(a), pa.array(b)], ["field", "a", "b"])
+                        yield found(np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x]), False)
 
     rows = spread(reps.select("field", "doc_id", "dense"), "doc_id").mapInArrow(assign, "block long, side int, id long, data binary")
     sorted_rows = rows.repartition("block").sortWithinPartitions("block", "side")
-    return sorted_rows.mapInArrow(scan, "field int, a long, b long").distinct()
+    return sorted_rows.mapInArrow(scan, "field int, a long, b long, block long").distinct()
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, terms and values, as unit vectors, of a batch (block, side, id, terms, values)."""
+    sizes = np.diff(batch.column(3).offsets.to_numpy())
+    values = batch.column(4).flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    return batch.column(2).to_numpy(), sizes, batch.column(3).flatten().to_numpy(), values / np.repeat(np.sqrt(np.add.reduceat(values * values, starts)), sizes)
+
+
+def _whole_blocks(asked: DataFrame, sparse: DataFrame, k: int, least: float, digits: int) -> DataFrame:
+    """``(field, a, b)``, a < b: of the ``asked`` blocks ``(field, block, side, id)`` the pairs of a filed row (side 0) and
+    an asking one (side 1) that are among the ``k`` best of either there, by exact similarity and then smaller id, and
+    reach ``least``. Blocks stream through; one block's filed rows are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filed, waiting = None, None, []
+        for batch in batches:
+            key, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]), True]) if len(key) else []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if key[s] != block:
+                    block, filed, waiting = int(key[s]), None, []
+                if side[s] == 0:
+                    waiting.append(_sparse(batch.slice(s, e - s)))
+                    continue
+                if filed is None:
+                    filed, sizes, terms, values = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                    words, place = np.unique(terms, return_inverse=True)
+                    starts, waiting = np.cumsum(sizes) - sizes, []
+                    best = np.full((k, len(filed)), -1.0)  # of each filed row so far
+                for at in range(s, e, 256):
+                    asking, lengths, t, v = _sparse(batch.slice(at, min(256, e - at)))
+                    score, end = np.empty((len(asking), len(filed))), np.cumsum(lengths)
+                    for i, (a, b) in enumerate(zip(end - lengths, end, strict=True)):
+                        weights, spot = np.zeros(len(words)), np.minimum(np.searchsorted(words, t[a:b]), len(words) - 1)
+                        known = words[spot] == t[a:b]
+                        weights[spot[known]] = v[a:b][known]
+                        score[i] = np.add.reduceat(weights[place] * values, starts)
+                    score = np.round(score, digits)
+                    score[asking[:, None] == filed[None]] = -2
+                    of_asking = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    of_filed = np.argsort(-score, axis=0, kind="stable")[:k]
+                    top = np.take_along_axis(score, of_filed, 0)
+                    chosen = np.zeros(score.shape, bool)
+                    np.put_along_axis(chosen, of_filed, top > best[-1], 0)  # earlier ones have smaller ids
+                    np.put_along_axis(chosen, of_asking, True, 1)
+                    best = -np.sort(-np.concatenate([best, top]), axis=0)[:k]
+                    q, x = np.nonzero(chosen & (score >= least))
+                    columns = [np.full(len(q), block % 2, np.int32), np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["field", "a", "b"])
+
+    rows = asked.join(sparse.select("field", F.col("doc_id").alias("id"), "terms", "values"), ["field", "id"]).select("block", "side", "id", "terms", "values")
+    return rows.repartition("block").sortWithinPartitions("block", "side", "id").mapInArrow(run, "field int, a long, b long").distinct()
 
 
 def _exact(pairs: DataFrame, sparse: DataFrame, digits: int) -> DataFrame:
@@ -293,10 +381,11 @@ def nearest(
     Every vector is indexed and asks. Equal vectors are folded first: a class of any size is one row of the index, and
     only its k + 1 smallest members can be anyone's neighbours. Index: signed feature hashing, k-means lists,
     residuals in 4-bit codes under a score-aware anisotropic loss; centroids and codebooks are fitted on at most
-    ``SAMPLE`` rows. Scans estimate, the exact sparse vectors decide. All-zero vectors have no
+    ``SAMPLE`` rows. Scans estimate, the exact sparse vectors decide; a query that more than ``reranked`` of a block seem
+    near to is compared exactly with all of that block. All-zero vectors have no
     neighbours, null and NaN values are 0, repeated rows count once, an empty table gives no rows, other columns are ignored. A
     neighbour is lost if neither of a pair lies in a list that the other visits, or its estimate is off by more than
-    ``slack``, or more than ``reranked`` others in a block seem nearer.
+    ``slack``.
     """
     spark = rows.sparkSession
     all_rows = scratch.keep(vectors(rows))
@@ -310,9 +399,13 @@ def nearest(
         models[field] = fit(sample, n)
     if not models:
         return spark.createDataFrame([], "field string, doc_id long, other long, similarity double")
-    pairs = scratch.keep(_candidates(reps, models, least - slack, reranked))
-    wanted = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    scanned = scratch.keep(_candidates(reps, models, least, slack, reranked))
+    pairs = scanned.where("block is null").select("field", "a", "b")
+    wanted = scratch.keep(scanned.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
     sparse = scratch.keep(vectors(rows.join(small(wanted, MOST_IDS), "doc_id", "left_semi"), sparse=True))
+    asked = scanned.where("block is not null").select("field", "block", F.when(F.col("a").isNull(), 0).otherwise(1).alias("side"), F.coalesce("a", "b").alias("id"))
+    if asked.limit(1).count():
+        pairs = scratch.keep(pairs.unionByName(_whole_blocks(asked, sparse, k, least, digits)).distinct())
     close = scratch.keep(_exact(pairs, sparse, digits).where(F.col("similarity") >= least))
     both = close.unionByName(close.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     by_rank = Window.partitionBy("field", "a").orderBy(F.desc("similarity"), "b")
