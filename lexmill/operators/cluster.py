@@ -56,19 +56,32 @@ class Clusters:
     rounds: int
 
 
-def k_means(vectors: DataFrame, docs: DataFrame, scratch: Scratch, k: int = 10, most_rounds: int = 20) -> Clusters:
+def k_means(vectors: DataFrame, docs: DataFrame, scratch: Scratch, k: int = 10, most_rounds: int = 1000) -> Clusters:
     """Rounds of assignment and means until no document changes its cluster. An empty cluster keeps its centroid; k
-    greater than the number of documents leaves clusters empty. Each round is written to the shared folder."""
+    greater than the number of documents leaves clusters empty. Each round is written to the shared folder, where only the
+    last one stays. An error if the assignments come back to an earlier state, which would go on for ever, or if
+    ``most_rounds`` are not enough: there is no result that has not settled."""
     means = scratch.keep(seed_centroids(vectors, seeds(docs, k)))
-    before = None
+    states: list[tuple] = []
     for turn in range(1, most_rounds + 1):
         assigned = scratch.keep(assign(vectors, means, docs))
-        if before is not None and not assigned.join(before.withColumnRenamed("cluster", "was"), "doc_id").where("cluster <> was").limit(1).count():
+        state = _state(assigned)
+        if states and state == states[-1]:
             return Clusters(assigned, means, turn)
+        if state in states:
+            raise RuntimeError(f"assignments of round {turn} repeat those of round {states.index(state) + 1}")
+        states.append(state)
         new = centroids(vectors, assigned)
         empty = means.join(assigned.select("cluster").distinct(), "cluster", "left_anti")
-        means, before = scratch.keep(new.unionByName(empty)), assigned
-    return Clusters(before, means, most_rounds)
+        old, means = means, scratch.keep(new.unionByName(empty))
+        scratch.drop(old, assigned)
+    raise RuntimeError(f"clusters still change after {most_rounds} rounds")
+
+
+def _state(assigned: DataFrame) -> tuple:
+    """A digest of all assignments: their number and the sum of their hashes."""
+    row = assigned.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "cluster").cast("decimal(38,0)"))).first()
+    return row[0], row[1]
 
 
 def array_dot(a: Column, b: Column) -> Column:

@@ -128,9 +128,9 @@ def kmeans_quality_iter1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """k-means with ten clusters until nothing changes, at most ten rounds."""
+    """k-means with ten clusters until nothing changes."""
     scratch = Scratch(spark)
-    found = cluster.k_means(scratch.keep(_vectors(spark, d)), _docs(spark, d), scratch, most_rounds=10)
+    found = cluster.k_means(scratch.keep(_vectors(spark, d)), _docs(spark, d), scratch)
     return found.assigned.select("doc_id", "cluster")
 
 

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from lexmill.operators import cluster
 from lexmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,31 @@ def test_process_articles_as_stored(spark):
             stored.setdefault(r.doc_id, set()).add(r.processed_text)
     got = {r.doc_id: r.processed for r in queries.process_articles(spark, SF).collect()}
     assert set(got) == ids and stored and all(got[d] in texts for d, texts in stored.items())
+
+
+def settled(texts, k):
+    """k-means by largest dot product of binary vectors over their sizes until nothing changes: clusters and rounds."""
+    vectors = {d: {w: 1 / len(set(t.split())) for w in set(t.split())} for d, t in texts.items()}
+    means, was, rounds = {c: vectors[d] for c, d in enumerate(sorted(texts)[:k])}, None, 0
+    while True:
+        rounds += 1
+        score = lambda v, c: round(sum(x * means[c].get(w, 0) for w, x in v.items()), 12)
+        now = {d: max(means, key=lambda c: (score(v, c), -c)) for d, v in vectors.items()}
+        if now == was:
+            return now, rounds
+        was = now
+        for c in set(now.values()):
+            own = [vectors[d] for d in now if now[d] == c]
+            means[c] = {w: sum(v.get(w, 0) for v in own) / len(own) for w in set().union(*own)}
+
+
+def test_kmeans_until_nothing_changes(spark, scratch, tmp_path):
+    """More rounds than ten; fewer than are needed are an error."""
+    texts = {i: " ".join(f"word{k}" for k in range(i, i + 5)) for i in range(60)}  # a chain, its seeds all at one end
+    expected, rounds = settled(texts, 10)
+    assert rounds > 12
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.cluster for r in queries.kmeans_clusters(spark, str(tmp_path)).collect()} == expected
+    docs = queries._docs(spark, str(tmp_path))
+    with pytest.raises(RuntimeError):
+        cluster.k_means(queries._vectors(spark, str(tmp_path)), docs, scratch, most_rounds=3)
