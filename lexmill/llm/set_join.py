@@ -14,12 +14,12 @@ from lexmill.llm.hashing import mix
 from lexmill.sources.tables import Scratch, spread
 
 _U = np.uint64
-#: A node of at most so many records is compared pair by pair, a larger one is split further.
-SMALL_NODE = 24
+#: A node of at most so many records is compared pair by pair in a task, a larger one in salted blocks.
+SMALL_NODE = 1024
 #: Tokens in at least this share of all sets do not branch; they count for the similarity.
 COMMON = 0.2
-#: Trees: a pair at the threshold shares a leaf of one tree with a chance of about 0.28, so of one in 20 with 0.998.
-TREES = 20
+#: Chance with which a pair at the threshold shares a leaf of one of the trees.
+FOUND = 0.998
 _BITS = 64
 
 
@@ -63,15 +63,25 @@ def grow(
     return owner, path
 
 
-def _branching(tokens: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, float, bool]:
-    """The tokens that branch, their chance, and whether they are too few for the pair's overlap to be sure of them.
+def trees_for(depth: int, found: float = FOUND) -> int:
+    """Trees that a pair needs to share a leaf of one of them with chance ``found``, if one of its branches is kept alive on
+    average at each of ``depth`` levels: such a pair is still alive in one tree with chance q, q' = 1 - exp(-q) a level."""
+    alive = 1.0
+    for _ in range(depth):
+        alive = 1 - math.exp(-alive)
+    return math.ceil(math.log(1 - found) / math.log(1 - alive))
 
-    Sets of like size with the threshold's similarity differ in at most a share d = (1 - t) / (1 + t) of their tokens,
-    so they share at least |rare| - d |all| rare ones: a chance of one over that keeps one branch alive on average.
+
+def _branching(tokens: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
+    """The tokens that branch and their chance.
+
+    Whatever the other's size, a similar set shares at least a share t, the threshold, of this one's tokens (of sets of
+    like size more, but one may hold the other), so at least |rare| - (1 - t) |all| rare ones: a chance of one over that
+    keeps one branch alive on average.
     """
     rare = tokens[~np.isin(tokens, common)]
-    sure = len(rare) - (1 - threshold) / (1 + threshold) * len(tokens)
-    return rare, 1.0 / max(sure, 1.0), sure < 0.27 * len(tokens)
+    sure = len(rare) - (1 - threshold) * len(tokens)
+    return rare, 1.0 / max(sure, 1.0)
 
 
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,33 +112,22 @@ def _paths(sets: DataFrame, common: np.ndarray, threshold: float, trees: int, de
     return spread(sets.select("id", "tokens"), "id").mapInArrow(run, "path long, id long, sketch long")
 
 
-def _deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, threshold: float, depth: int, seed: int, all_tokens: bool) -> DataFrame:
-    """The paths of the records in nodes that are still large, some levels further down."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, offset, flat = _rows_of(batch)
-            parts = [_branching(flat[a:b], common[:0] if all_tokens else common, threshold) for a, b in zip(offset, offset[1:], strict=False)]
-            tokens, chance = [mix(p[0]) for p in parts], np.array([p[1] for p in parts])
-            path, sketch = batch.column(2).to_numpy().view(_U), batch.column(3).to_numpy()
-            owner, path = grow(np.arange(len(ids)), path, tokens, chance, depth, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[owner]), pa.array(sketch[owner])], ["path", "id", "sketch"])
-
-    return rows.join(sets.select("id", "tokens"), "id").select("id", "tokens", "path", "sketch").mapInArrow(run, "path long, id long, sketch long")
-
-
 def _nodes(paths: DataFrame, differ: int, small_node: int = SMALL_NODE) -> DataFrame:
     """Of small nodes the pairs ``(a, b)`` whose sketches allow the similarity; of larger ones each record as
     ``(a, null, path, sketch)``. One shuffle by path; sorted runs stream through, only one node's records are held."""
 
     def pairs(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         a, b = [], []
-        longest = int(np.diff(np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])).max(initial=0))
-        for step in range(1, longest):
-            hit = (path[step:] == path[:-step]) & (ids[step:] != ids[:-step])
-            hit &= np.bitwise_count((sketch[step:] ^ sketch[:-step]).view(_U)) <= differ
-            a.append(ids[:-step][hit])
-            b.append(ids[step:][hit])
+        edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
+        left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(path))  # rows to the end of the node
+        at, step = np.flatnonzero(left > 1), 1
+        while len(at):
+            hit = ids[at + step] != ids[at]
+            hit &= np.bitwise_count((sketch[at + step] ^ sketch[at]).view(_U)) <= differ
+            a.append(ids[at[hit]])
+            b.append(ids[at[hit] + step])
+            step += 1
+            at = at[left[at] > step]
         x, y = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
         return batch_of(np.minimum(x, y), np.maximum(x, y), None, None)
 
@@ -162,14 +161,14 @@ def _nodes(paths: DataFrame, differ: int, small_node: int = SMALL_NODE) -> DataF
     return rows.mapInArrow(run, "a long, b long, path long, sketch long")
 
 
-def similar_sets(sets: DataFrame, scratch: Scratch, threshold: float = 0.7, trees: int = TREES, most_rounds: int = 4) -> DataFrame:
+def similar_sets(sets: DataFrame, scratch: Scratch, threshold: float = 0.7, trees: int | None = None, small_node: int = SMALL_NODE) -> DataFrame:
     """``(a, b)``, a < b: pairs of the distinct sets ``(id, tokens)`` with |x n y| / |x u y| >= ``threshold``.
 
-    Recursive chosen-path splitting: each tree branches records on randomly chosen shared tokens; nodes of up to
-    ``SMALL_NODE`` records are compared by sketch, larger ones are split for up to ``most_rounds`` further rounds, and
-    what cannot be split is compared pair by pair in salted blocks, so nothing is capped. Candidates are then verified
-    exactly on whole sets. The depth grows with the logarithm of the collection. Very common tokens do not
-    branch; if some sets consist of hardly anything else, a second forest over all tokens finds their pairs.
+    Recursive chosen-path splitting: each tree branches records on randomly chosen shared tokens; all records of a node
+    are compared by sketch, nodes of up to ``small_node`` within a task and larger ones in salted blocks, so nothing is
+    capped and no pair in a node is lost by splitting on. Candidates are then verified exactly on whole sets. The depth
+    grows with the logarithm of the collection, and the number of trees with the depth (``trees_for``). Very common
+    tokens do not branch; if some sets consist of hardly anything else, a second forest over all tokens finds their pairs.
     """
     n = sets.count()
     if n < 2:
@@ -179,18 +178,16 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: float = 0.7, tree
     depth, differ = max(2, math.ceil(math.log10(n)) + 1), most_different(threshold)
     known = np.array(common)
     rare = F.size(F.filter("tokens", lambda t: ~t.isin([int(x) for x in common.view(np.int64)]))) if len(common) else F.size("tokens")
-    hard = sets.where(rare - (1 - threshold) / (1 + threshold) * F.size("tokens") < 0.27 * F.size("tokens")).limit(1).count()
+    is_hard = rare - (1 - threshold) / (1 + threshold) * F.size("tokens") < 0.27 * F.size("tokens")
+    hard = sets.where(is_hard).limit(1).count()
     candidates = []
     for every in [False] + [True] * (hard > 0):
-        level = scratch.keep(_nodes(_paths(sets, known, threshold, trees, depth * (2 if every else 1), every), differ))
-        for more in range(most_rounds + 1):
-            candidates.append(level.where("b is not null").select("a", "b"))
-            large = level.where("b is null").select(F.col("a").alias("id"), "path", "sketch")
-            if not large.limit(1).count():
-                break
-            if more < most_rounds:
-                level = scratch.keep(_nodes(_deeper(large, sets, known, threshold, 3, 1000 + more, every), differ))
-                continue
+        levels = depth * (2 if every else 1)
+        asked = sets if every else sets.where(~is_hard)
+        level = scratch.keep(_nodes(_paths(asked, known, threshold, trees or trees_for(levels), levels, every), differ, small_node))
+        candidates.append(level.where("b is not null").select("a", "b"))
+        large = level.where("b is null").select(F.col("a").alias("id"), "path", "sketch")
+        if large.limit(1).count():
             salted = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
             other = large.select("path", F.col("id").alias("b"), F.col("sketch").alias("s"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(32)))).alias("salt"))
             close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("s"))) <= differ

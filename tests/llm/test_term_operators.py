@@ -128,6 +128,21 @@ def test_similar_sets_in_one_large_family(spark, scratch):
     assert got == brute_pairs(rows, 0.7)
 
 
+def test_similar_sets_that_hold_one_another(spark, scratch):
+    """Sets of 100 tokens and shortened ones of 70 at the threshold, in a family whose nodes are large."""
+    rng = random.Random(4)
+    rows, expected = {i: [f"u{i}_{j}" for j in range(12)] for i in range(3000, 5600)}, set()
+    for i in range(1, 401):
+        rows[i] = [f"base{j}" for j in range(60)] + [f"own{i}_{j}" for j in range(40)]
+        if i <= 150:
+            rows[1000 + i] = sorted(rng.sample(rows[i], 70))
+            expected.add((i, 1000 + i))
+    frame = spark.createDataFrame([(i, ts) for i, ts in rows.items()], "id long, terms array<string>")
+    sets = scratch.keep(frame.select("id", F.sort_array(F.transform("terms", lambda t: F.xxhash64(t))).alias("tokens")))
+    got = {tuple(r) for r in set_join.similar_sets(sets, scratch).collect()}
+    assert got <= expected and len(got) >= 0.98 * len(expected)
+
+
 def test_nodes_are_lossless(spark):
     """Runs of any length across batches: every pair of a small node, every record of a large one."""
     rng = random.Random(5)
@@ -146,6 +161,21 @@ def test_nodes_are_lossless(spark):
     assert large == {(p, i) for p, v in by.items() if len(v) > set_join.SMALL_NODE for i in v}
 
 
+@pytest.mark.parametrize("small_node", [3, 24])
+def test_large_nodes_in_salted_blocks(spark, scratch, small_node):
+    """Nodes that are too large for a task lose nothing."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(30)]
+    rows = {i: sorted(set(base) ^ {rng.choice(base), f"x{i}"}) for i in range(60)}
+    sets = spark.createDataFrame([(i, [hash(t) for t in ts]) for i, ts in rows.items()], "id long, tokens array<long>")
+    got = {tuple(r) for r in set_join.similar_sets(scratch.keep(sets), scratch, small_node=small_node).collect()}
+    assert got == brute_pairs(rows, 0.7)
+
+
+def test_trees_grow_with_the_depth():
+    assert set_join.trees_for(5) == 20 < set_join.trees_for(6) < set_join.trees_for(9) < set_join.trees_for(18)
+
+
 def brute_groups(texts, k, threshold):
     sets = {i: {tuple(t.split()[j : j + k]) for j in range(len(t.split()) - k + 1)} for i, t in texts.items()}
     parent = {i: i for i in sets}
