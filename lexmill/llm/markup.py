@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -61,6 +62,13 @@ INLINE = re.compile(
     r"|'{2,3}(?=[^'\s])[^'\n]+?(?<=[^'\s])'{2,3}|\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{",
     _I | re.S,
 )
+# The two ends of bold, underlined and struck spans, which ``INLINE`` has up to a length.
+ENDS = [
+    (re.compile(opening), re.compile(closing))
+    for opening, closing in (
+        (r"\*\*(?=[^\s*])", r"(?<=[^\s*])\*\*"), (r"(?<!\w)__(?=[^\s_])", r"(?<=[^\s_])__(?!\w)"), (r"~~(?=[^\s~])", r"(?<=[^\s~])~~"),
+    )
+]
 _own_tag = re.compile(rf"</?(?:{'|'.join(OWN)})>")
 
 
@@ -118,6 +126,23 @@ def _plain(m: re.Match) -> str:
     return s.strip("*_~`'")
 
 
+def _long_spans(text: str) -> str:
+    """The text without the marks of spans of any length; each end is looked up once, so long texts take linear time."""
+    for opening, closing in ENDS:
+        closers = [m.start() for m in closing.finditer(text)]
+        out, at = [], 0
+        for m in opening.finditer(text):
+            if m.start() < at:
+                continue
+            k = bisect_left(closers, m.end() + 1)
+            if k == len(closers):
+                break
+            out += [text[at : m.start()], text[m.end() : closers[k]]]
+            at = closers[k] + 2
+        text = "".join(out) + text[at:]
+    return text
+
+
 def convert(lines: list[str | None], own: re.Pattern = _own_tag) -> tuple[str, list[str]]:
     """Clean text of an article and the kinds of structure that were marked up. Headings become ``# `` lines, list
     items ``- `` lines, code blocks are fenced by ```` ``` ````, formulas by ``$$``."""
@@ -139,12 +164,17 @@ def convert(lines: list[str | None], own: re.Pattern = _own_tag) -> tuple[str, l
     text, heading, listed = _headings_and_lists(text)
     kinds |= {"heading"} if heading else set()
     kinds |= {"list"} if listed else set()
-    for _ in range(4):  # constructs nest
+    while True:  # constructs nest; each round shortens the text, or an unknown reference is all that is left
+        before = text
         text, n = INLINE.subn(_plain, text)
-        if not n:
+        if text == before:
+            text = _long_spans(text)
+        if n or text != before:
+            kinds.add("inline")
+        if text == before:
             break
-        kinds.add("inline")
-        text = re.sub(r"\{([^{}]*)\}", r"\1", text)
+        if n:
+            text = re.sub(r"\{([^{}]*)\}", r"\1", text)
     text = html.unescape(text)
     text = re.sub("\x00(\\d+)\x01", lambda m: kept[int(m[1])], text)
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip("\n"), sorted(kinds)

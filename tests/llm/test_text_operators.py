@@ -134,6 +134,18 @@ def test_clean_text():
     assert text == "Oil\n\n# A B\n\nx & z\n- a\n- b\n\n```\nif (a) {\n```\n\n$$q_1$$"
 
 
+def test_markup_of_any_depth_and_length():
+    deep = "core"
+    for k in range(9):
+        deep = f"[[p{k}|{deep}]]"
+    assert markup.convert([f"x {deep} y"]) == ("x core y", ["inline"])
+    words = " ".join(["word"] * 1000)
+    for mark in ("**", "__", "~~"):
+        assert markup.convert([f"a {mark}{words}{mark} b"]) == (f"a {words} b", ["inline"])
+        assert markup.convert([f"a {mark}{words} b"]) == (f"a {mark}{words} b", [])
+    assert markup.convert(["a &unknown; b"]) == ("a &unknown; b", ["inline"])
+
+
 def test_markup_table(spark, scratch):
     schema = "doc_id long, path string, text_lines array<string>, own string, kinds int, tokens int"
     page = lambda i, lines: (i, "f", lines, "x", 1, 1)
