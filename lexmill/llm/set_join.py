@@ -16,24 +16,32 @@ from lexmill.sources.tables import Scratch, spread
 _U = np.uint64
 #: A node of at most so many records is compared pair by pair in a task, a larger one in salted blocks.
 SMALL_NODE = 1024
-#: Tokens in at least this share of all sets do not branch; they count for the similarity.
-COMMON = 0.2
+#: Expected records of a node at which branching ends.
+LEAF = 128
+#: Tokens in at least this share of all sets do not branch; they count for the similarity. Tokens in less than the lower
+#: share count as being in just that: at most (mean tokens of a set) / RARE tokens are more frequent, a proven bound.
+COMMON, RARE = 0.2, 1e-4
 #: Chance with which a pair at the threshold shares a leaf of one of the trees.
 FOUND = 0.998
-_BITS = 64
+#: Branchings of a path at most; what is still together then is compared in blocks.
+DEEPEST = 16
+_BITS, _BINS = 128, 16
 
 
-def sketches(record: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """64 one-bit minwise hashes of each set; two sets of similarity J agree on each bit with chance (1 + J) / 2."""
-    out = np.zeros(n, _U)
-    if not len(record):
-        return out
-    starts = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+def sketches(record: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 one-bit minwise hashes of each set, in two words; two sets of similarity J agree on a bit with a chance of at
+    least (1 + J) / 2. Each of eight hashes throws the tokens into 16 bins, of which the least one gives a bit; a bin that
+    is empty in both sets agrees."""
+    out = np.zeros((2, n), _U)
     base = mix(tokens)
-    for bit in range(_BITS):
-        lowest = np.minimum.reduceat(mix(base + _U(0x9E3779B97F4A7C15 * (bit + 1) % (1 << 64))), starts)
-        out[record[starts]] |= (lowest & _U(1)) << _U(bit)
-    return out
+    for turn in range(_BITS // _BINS):
+        h = mix(base + _U(0x9E3779B97F4A7C15 * (turn + 1) % (1 << 64)))
+        least = np.full(n * _BINS, np.iinfo(np.uint64).max, _U)
+        np.minimum.at(least, record * _BINS + (h & _U(_BINS - 1)).astype(np.int64), h >> _U(4))
+        bits = (least.reshape(n, _BINS) & _U(1)) << np.arange(_BINS, dtype=_U)
+        word, place = divmod(turn * _BINS, 64)
+        out[word] |= bits.sum(1, dtype=_U) << _U(place)
+    return out[0], out[1]
 
 
 def most_different(threshold: float) -> int:
@@ -44,23 +52,36 @@ def most_different(threshold: float) -> int:
 
 
 def grow(
-    owner: np.ndarray, path: np.ndarray, tokens: list[np.ndarray], chance: np.ndarray, depth: int, seed: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Paths ``(owner, path)`` after ``depth`` more branchings. At each node a token is chosen if its hash with the
-    node's path falls below the record's chance, so all records at a node choose alike; a path names its tokens in
-    the order of choice."""
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    flat = np.concatenate(tokens) if len(tokens) else np.zeros(0, _U)
+    tokens: np.ndarray, share: np.ndarray, sizes: np.ndarray, chance: np.ndarray, root: int, expected: float, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves ``(owner, path)`` of a tree. At each node a token that is not on the path yet is chosen if its hash with the
+    path falls below the record's chance, so all records at a node choose alike; a path names its tokens in the order of
+    choice. It ends where ``expected`` records times the shares of its tokens come to ``LEAF`` or less, which all records
+    at the node find alike, too, without being counted."""
     offset = np.r_[0, np.cumsum(sizes)]
     limit = (np.minimum(chance, 1.0) * float(1 << 53)).astype(_U)
-    for level in range(depth):
+    owner = np.arange(len(sizes))
+    path, left = np.full(len(owner), root, _U), np.full(len(owner), math.log(max(expected, 1e-9) / LEAF))
+    used = np.zeros((len(owner), 0), _U)
+    done_owner, done_path = [owner[left <= 0]], [path[left <= 0]]
+    owner, path, used, left = owner[left > 0], path[left > 0], used[left > 0], left[left > 0]
+    for level in range(DEEPEST):
         n = sizes[owner]
         at = np.repeat(np.arange(len(owner)), n)
         place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + offset[owner[at]]
-        h = mix(path[at] + flat[place] * _U(0xD6E8FEB86659FD93) + _U(seed * 64 + level + 1))
-        chosen = (h >> _U(11)) <= limit[owner[at]]
-        owner, path = owner[at[chosen]], mix(h[chosen])
-    return owner, path
+        h = mix(path[at] + tokens[place] * _U(0xD6E8FEB86659FD93) + _U(seed * 64 + level + 1))
+        chosen = np.flatnonzero((h >> _U(11)) <= limit[owner[at]])
+        chosen = chosen[(used[at[chosen]] != tokens[place[chosen], None]).all(1)]
+        at, place, h = at[chosen], place[chosen], h[chosen]
+        owner, path, left = owner[at], mix(h), left[at] + share[place]
+        used = np.c_[used[at], tokens[place]]
+        end = left <= 0
+        done_owner.append(owner[end])
+        done_path.append(path[end])
+        owner, path, used, left = owner[~end], path[~end], used[~end], left[~end]
+        if not len(owner):
+            break
+    return np.concatenate([*done_owner, owner]), np.concatenate([*done_path, path])
 
 
 def trees_for(depth: int, found: float = FOUND) -> int:
@@ -69,19 +90,17 @@ def trees_for(depth: int, found: float = FOUND) -> int:
     alive = 1.0
     for _ in range(depth):
         alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - found) / math.log(1 - alive))
+    return math.ceil(math.log(1 - found) / math.log(1 - alive)) if alive < 1 else 1
 
 
-def _branching(tokens: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
-    """The tokens that branch and their chance.
+def _branching(sizes: np.ndarray, rare: np.ndarray, threshold: float) -> np.ndarray:
+    """The chance of a branching token of sets of ``sizes`` tokens, ``rare`` of which branch.
 
     Whatever the other's size, a similar set shares at least a share t, the threshold, of this one's tokens (of sets of
     like size more, but one may hold the other), so at least |rare| - (1 - t) |all| rare ones: a chance of one over that
     keeps one branch alive on average.
     """
-    rare = tokens[~np.isin(tokens, common)]
-    sure = len(rare) - (1 - threshold) * len(tokens)
-    return rare, 1.0 / max(sure, 1.0)
+    return 1.0 / np.maximum(rare - (1 - threshold) * sizes, 1.0)
 
 
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,55 +110,61 @@ def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return batch.column(0).to_numpy(), np.r_[0, np.cumsum(sizes)], lists.flatten().to_numpy().view(_U)
 
 
-def _paths(sets: DataFrame, common: np.ndarray, threshold: float, trees: int, depth: int, all_tokens: bool) -> DataFrame:
-    """``(path, id, sketch)`` of every set at ``depth`` of every tree; no shuffle, each set is followed alone."""
+def _paths(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, threshold: float, trees: int, all_tokens: bool) -> DataFrame:
+    """``(path, id, s1, s2)`` of every set at the leaves of every tree; no shuffle, each set is followed alone. ``frequent``
+    has the sorted tokens of at least ``RARE`` of the sets and their shares."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shares = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 500):  # bounds the memory of a level
                 ids, offset, flat = _rows_of(batch.slice(start, 500))
                 record = np.repeat(np.arange(len(ids)), np.diff(offset))
-                sketch = sketches(record, flat, len(ids))
-                parts = [_branching(flat[a:b], common[:0] if all_tokens else common, threshold) for a, b in zip(offset, offset[1:], strict=False)]
-                tokens, chance = [mix(p[0]) for p in parts], np.array([p[1] for p in parts])
+                one, two = sketches(record, flat, len(ids))
+                at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                share = np.where(known[at] == flat, shares[at], RARE) if len(known) else np.full(len(flat), RARE)
+                branching = (share < COMMON) | all_tokens
+                rare = np.bincount(record[branching], minlength=len(ids))
+                chance = _branching(np.diff(offset), rare, threshold)
+                tokens, logs = mix(flat[branching]), np.log(share[branching])
                 for tree in range(trees):
-                    owner = np.arange(len(ids))
-                    owner, path = grow(owner, np.full(len(ids), tree * 2 + all_tokens + 1, _U), tokens, chance, depth, tree)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(path.view(np.int64)), pa.array(ids[owner]), pa.array(sketch[owner].view(np.int64))], ["path", "id", "sketch"]
-                    )
+                    owner, path = grow(tokens, logs, rare, chance, tree * 2 + all_tokens + 1, n, tree)
+                    arrays = [path.view(np.int64), ids[owner], one[owner].view(np.int64), two[owner].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["path", "id", "s1", "s2"])
 
-    return spread(sets.select("id", "tokens"), "id").mapInArrow(run, "path long, id long, sketch long")
+    return spread(sets.select("id", "tokens"), "id").mapInArrow(run, "path long, id long, s1 long, s2 long")
 
 
 def _nodes(paths: DataFrame, differ: int, small_node: int = SMALL_NODE) -> DataFrame:
     """Of small nodes the pairs ``(a, b)`` whose sketches allow the similarity; of larger ones each record as
-    ``(a, null, path, sketch)``. One shuffle by path; sorted runs stream through, only one node's records are held."""
+    ``(a, null, path, s1, s2)``. One shuffle by path; sorted runs stream through, only one node's records are held."""
 
-    def pairs(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def pairs(path: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
         a, b = [], []
         edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
         left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(path))  # rows to the end of the node
         at, step = np.flatnonzero(left > 1), 1
         while len(at):
-            hit = ids[at + step] != ids[at]
-            hit &= np.bitwise_count((sketch[at + step] ^ sketch[at]).view(_U)) <= differ
+            hit = np.bitwise_count((one[at + step] ^ one[at]).view(_U)) + np.bitwise_count((two[at + step] ^ two[at]).view(_U)) <= differ
+            hit &= ids[at + step] != ids[at]
             a.append(ids[at[hit]])
             b.append(ids[at[hit] + step])
             step += 1
             at = at[left[at] > step]
         x, y = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
-        return batch_of(np.minimum(x, y), np.maximum(x, y), None, None)
+        return batch_of(np.minimum(x, y), np.maximum(x, y))
 
-    def batch_of(a, b, path, sketch) -> pa.RecordBatch:
+    def batch_of(a, b=None, *rest) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        columns = [pa.array(a), none if b is None else pa.array(b), none if path is None else pa.array(path), none if sketch is None else pa.array(sketch)]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "path", "sketch"])
+        columns = [pa.array(a), none if b is None else pa.array(b), *map(pa.array, rest or ())]
+        return pa.RecordBatch.from_arrays(columns + [none] * (5 - len(columns)), ["a", "b", "path", "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.zeros(0, np.int64)] * 3, None
+        held, large = [np.zeros(0, np.int64)] * 4, None
         for batch in batches:
-            path, ids, sketch = (np.r_[held[i], batch.column(i).to_numpy()] for i in range(3))
+            rows = [np.r_[held[i], batch.column(i).to_numpy()] for i in range(4)]
+            path, ids = rows[:2]
             if not len(path):
                 continue
             edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
@@ -147,59 +172,81 @@ def _nodes(paths: DataFrame, differ: int, small_node: int = SMALL_NODE) -> DataF
             open_run = np.arange(len(path)) >= edges[-2]
             big = (sizes > small_node) | (path == large if large is not None else False)
             large = path[-1] if big[-1] else None
-            done = ~open_run & ~big
-            held = [x[open_run & ~big] for x in (path, ids, sketch)]
-            done &= sizes > 1
+            done = ~open_run & ~big & (sizes > 1)
+            held = [x[open_run & ~big] for x in rows]
             if done.any():
-                yield pairs(path[done], ids[done], sketch[done])
+                yield pairs(*(x[done] for x in rows))
             if big.any():
-                yield batch_of(ids[big], None, path[big], sketch[big])
+                yield batch_of(ids[big], None, path[big], rows[2][big], rows[3][big])
         if len(held[0]) > 1:
             yield pairs(*held)
 
     rows = paths.repartition("path").sortWithinPartitions("path", "id")
-    return rows.mapInArrow(run, "a long, b long, path long, sketch long")
+    return rows.mapInArrow(run, "a long, b long, path long, s1 long, s2 long")
 
 
-def similar_sets(sets: DataFrame, scratch: Scratch, threshold: float = 0.7, trees: int | None = None, small_node: int = SMALL_NODE) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    found = pairs.distinct().join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return found.where(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def similar_sets(
+    sets: DataFrame, scratch: Scratch, threshold: float = 0.7, trees: int | None = None, small_node: int = SMALL_NODE, exact: bool = False
+) -> DataFrame:
     """``(a, b)``, a < b: pairs of the distinct sets ``(id, tokens)`` with |x n y| / |x u y| >= ``threshold``.
 
-    Recursive chosen-path splitting: each tree branches records on randomly chosen shared tokens; all records of a node
-    are compared by sketch, nodes of up to ``small_node`` within a task and larger ones in salted blocks, so nothing is
-    capped and no pair in a node is lost by splitting on. Candidates are then verified exactly on whole sets. The depth
-    grows with the logarithm of the collection, and the number of trees with the depth (``trees_for``). Very common
-    tokens do not branch; if some sets consist of hardly anything else, a second forest over all tokens finds their pairs.
+    Recursive chosen-path splitting: each tree branches records on randomly chosen shared tokens until so few records are
+    to be expected at a node that all of them can be compared by sketch; nodes that turn out large are compared in salted
+    blocks, so nothing is capped and no pair in a node is lost. Candidates are then verified exactly on whole sets. Very
+    common tokens do not branch; if some sets consist of hardly anything else, a second forest over all tokens finds
+    their pairs. The number of trees (``trees``, or ``trees_for`` the mean depth and one more level) sets the recall;
+    ``exact`` finds every pair by ``prefix_pairs`` instead.
     """
     n = sets.count()
     if n < 2:
         return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    frequent = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= max(2, COMMON * n))
-    common = np.array([r.t for r in frequent.select("t").collect()], np.int64).view(_U)  # at most mean size / COMMON tokens
-    depth, differ = max(2, math.ceil(math.log10(n)) + 1), most_different(threshold)
-    known = np.array(common)
-    rare = F.size(F.filter("tokens", lambda t: ~t.isin([int(x) for x in common.view(np.int64)]))) if len(common) else F.size("tokens")
+    counts = scratch.keep(sets.select(F.explode("tokens").alias("t")).groupBy("t").count())
+    if exact:
+        return _verified(prefix_pairs(sets, counts, threshold), sets, threshold)
+    listed = counts.where(F.col("count") >= max(RARE * n, 2)).orderBy("t").toArrow()
+    known, share = listed.column(0).to_numpy().view(_U), listed.column(1).to_numpy() / n
+    order = np.argsort(known)
+    known, share = known[order], share[order]
+    common = known[share >= COMMON].view(np.int64)  # at most mean size / COMMON tokens
+    log = F.log(F.greatest(F.col("count") / n, F.lit(RARE)))
+    usual = counts.where(F.col("count") < COMMON * n).agg(F.sum(log * F.col("count")) / F.sum("count")).first()[0] or math.log(COMMON)
+    depth, differ = math.ceil(max(math.log(n / LEAF), 0.0) / -usual) + 1, most_different(threshold)
+    rare = F.size(F.filter("tokens", lambda t: ~t.isin([int(x) for x in common]))) if len(common) else F.size("tokens")
     is_hard = rare - (1 - threshold) / (1 + threshold) * F.size("tokens") < 0.27 * F.size("tokens")
     hard = sets.where(is_hard).limit(1).count()
-    candidates = []
+    pairs = None
     for every in [False] + [True] * (hard > 0):
-        levels = depth * (2 if every else 1)
         asked = sets if every else sets.where(~is_hard)
-        level = scratch.keep(_nodes(_paths(asked, known, threshold, trees or trees_for(levels), levels, every), differ, small_node))
-        candidates.append(level.where("b is not null").select("a", "b"))
-        large = level.where("b is null").select(F.col("a").alias("id"), "path", "sketch")
+        paths = _paths(asked, (known, share), n, threshold, trees or trees_for(depth * (2 if every else 1)), every)
+        level = scratch.keep(_nodes(paths, differ, small_node))
+        found = level.where("b is not null").select("a", "b")
+        large = level.where("b is null").select(F.col("a").alias("id"), "path", "s1", "s2")
         if large.limit(1).count():
             salted = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
-            other = large.select("path", F.col("id").alias("b"), F.col("sketch").alias("s"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(32)))).alias("salt"))
-            close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("s"))) <= differ
-            candidates.append(salted.join(other, ["path", "salt"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b"))
-    pairs = candidates[0]
-    for x in candidates[1:]:
-        pairs = pairs.unionByName(x)
-    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    found = pairs.distinct().join(x, "a").join(y, "b").withColumn("both", both)
-    return found.where(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+            other = large.select("path", F.col("id").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(32)))).alias("salt"))
+            close = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= differ
+            found = found.unionByName(salted.join(other, ["path", "salt"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return _verified(pairs, sets, threshold)
+
+
+def prefix_pairs(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: candidates that hold every similar pair. Two similar sets share one of the rarest |x| - ceil(t |x|) + 1
+    tokens of either, so these are joined; sets whose sizes differ too much are no candidates."""
+    flat = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(counts, "t")
+    ranked = flat.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "t"))).alias("x"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    rows = ranked.select("id", "n", F.explode(F.slice("x", F.lit(1), prefix)["t"]).alias("t"))
+    other = rows.select(F.col("id").alias("b"), F.col("n").alias("m"), "t")
+    near = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+    return rows.join(other, "t").where((F.col("id") < F.col("b")) & near).select(F.col("id").alias("a"), "b")
 
 
 def all_pairs(links: DataFrame, members: DataFrame, scratch: Scratch, salts: int = 16) -> DataFrame:

@@ -116,6 +116,8 @@ def test_similar_sets(spark, scratch, seed):
     got = {tuple(r) for r in set_join.all_pairs(set_join.similar_sets(sets, scratch), members, scratch).collect()}
     expected = brute_pairs(rows, 0.7)
     assert got <= expected and len(got) >= 0.98 * len(expected)
+    exact = set_join.similar_sets(sets, scratch, exact=True)
+    assert {tuple(r) for r in set_join.all_pairs(exact, members, scratch).collect()} == expected
 
 
 def test_similar_sets_in_one_large_family(spark, scratch):
@@ -146,14 +148,14 @@ def test_similar_sets_that_hold_one_another(spark, scratch):
 def test_nodes_are_lossless(spark):
     """Runs of any length across batches: every pair of a small node, every record of a large one."""
     rng = random.Random(5)
-    rows = [(rng.randint(1, 60), i, -1) for i in range(1, 700)] + [(99, i, 0) for i in range(1000, 1200)]
+    rows = [(rng.randint(1, 60), i, -1, 5) for i in range(1, 700)] + [(99, i, 0, 5) for i in range(1000, 1200)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
     try:
-        got = set_join._nodes(spark.createDataFrame(rows, "path long, id long, sketch long"), 64).collect()
+        got = set_join._nodes(spark.createDataFrame(rows, "path long, id long, s1 long, s2 long"), 128).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
     by = defaultdict(list)
-    for p, i, _ in rows:
+    for p, i, *_ in rows:
         by[p].append(i)
     pairs = {(a, b) for v in by.values() if len(v) <= set_join.SMALL_NODE for a in v for b in v if a < b}
     assert {(r.a, r.b) for r in got if r.b is not None} == pairs
