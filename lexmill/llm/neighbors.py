@@ -167,44 +167,58 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.
 def entries(rows: DataFrame) -> DataFrame:
     """``(doc_id, term, normalized_weight, normalized_count)`` of a term_document_info table, terms hashed, repeated
     rows dropped within tasks; null and NaN values are 0."""
-    values = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in FIELDS]
+    values = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).cast(rows.schema[f].dataType).alias(f) for f in FIELDS]
     return rows.where("doc_id is not null and term is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("term").alias("term"), *values)
 
 
-def vectors(rows: DataFrame, sparse: bool = False) -> DataFrame:
-    """``(field, doc_id, digest, dense)`` of each vector that is not all zero, or with ``sparse`` its terms and values
-    instead. Rows come sorted by record; repeats are dropped as they stream (of differing ones the largest values
-    count), so a record of any number of repeated rows needs no more memory than its distinct terms and a batch."""
+def records(rows: DataFrame) -> DataFrame:
+    """``(doc_id, terms, normalized_weight, normalized_count)``: the distinct terms of each record and their values, in one
+    pass over ``entries``. Rows come sorted by record; repeats are dropped as they stream (of differing ones the largest
+    values count), so a record of any number of repeated rows needs no more memory than its distinct terms and a batch."""
+    kinds = [rows.schema[f].dataType.simpleString() for f in FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, term, *values in _groups(batches, 0):
-            first = np.r_[True, (ids[1:] != ids[:-1]) | (term[1:] != term[:-1])]
-            at = np.flatnonzero(first)
-            values = [np.maximum.reduceat(v, at) for v in values]
-            ids, term = ids[at], term[at].view(_U)
-            for field, value in enumerate(values):
-                live = value != 0
-                d, t, v = ids[live], term[live], value[live]
-                if not len(d):
-                    continue
-                starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                ends = np.r_[starts[1:], len(d)]
-                names = d[starts]
-                columns = [pa.array(np.full(len(names), field, np.int32)), pa.array(names)]
-                if sparse:
-                    offsets = pa.array(np.r_[starts, len(d)].astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(offsets, pa.array(t.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(v))]
-                    yield pa.RecordBatch.from_arrays(columns, ["field", "doc_id", "terms", "values"])
+            at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (term[1:] != term[:-1])])
+            values, ids, term = [np.maximum.reduceat(v, at) for v in values], ids[at], term[at]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            offsets = pa.array(np.r_[starts, len(ids)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term, *values)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), *lists], ["doc_id", "terms", *FIELDS])
+
+    shape = ", ".join(f"{f} array<{k}>" for f, k in zip(FIELDS, kinds, strict=True))
+    calm = without_hot_repeats(rows, "doc_id")
+    return calm.repartition("doc_id").sortWithinPartitions("doc_id", "term").mapInArrow(run, f"doc_id long, terms array<long>, {shape}")
+
+
+def vectors(kept: DataFrame) -> DataFrame:
+    """``(field, doc_id, digest, dense)`` of each vector of ``records`` that is not all zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes = batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            term, owner = batch.column(1).flatten().to_numpy().view(_U), np.repeat(np.arange(batch.num_rows), sizes)
+            for field in range(len(FIELDS)):
+                value = batch.column(2 + field).flatten().to_numpy().astype(np.float64)
+                live = np.flatnonzero(value != 0)
+                if not len(live):
                     continue
-                dense = project(np.repeat(np.arange(len(names)), ends - starts), t, v, len(names))
+                starts = np.flatnonzero(np.r_[True, owner[live[1:]] != owner[live[:-1]]])
+                ends, t, v = np.r_[starts[1:], len(live)], term[live], value[live]
+                dense = project(np.repeat(np.arange(len(starts)), ends - starts), t, v, len(starts))
                 small_ints = np.rint(dense * (127 / np.maximum(np.abs(dense).max(1, keepdims=True), 1e-9))).astype(np.int8)
                 digests = [xxhash.xxh128_digest(t[a:b].tobytes() + v[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                columns = [pa.array(np.full(len(starts), field, np.int32)), pa.array(names[owner[live[starts]]])]
                 columns += [pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in small_ints], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["field", "doc_id", "digest", "dense"])
 
-    shape = "terms array<long>, values array<double>" if sparse else "digest binary, dense binary"
-    calm = without_hot_repeats(rows, "doc_id")
-    return calm.repartition("doc_id").sortWithinPartitions("doc_id", "term").mapInArrow(run, f"field int, doc_id long, {shape}")
+    return kept.mapInArrow(run, "field int, doc_id long, digest binary, dense binary")
+
+
+def _of_field(kept: DataFrame, name: str) -> DataFrame:
+    """``(field, name, terms, values)`` of the records ``kept``: a row for each field."""
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f).cast("array<double>").alias("values")) for k, f in enumerate(FIELDS)))).alias("x")
+    return kept.select(F.col("doc_id").alias(name), "terms", both).select("x.field", name, "terms", "x.values")
 
 
 def _dense(column: pa.Array) -> np.ndarray:
@@ -308,7 +322,7 @@ def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return batch.column(2).to_numpy(), sizes, batch.column(3).flatten().to_numpy(), values / np.repeat(np.sqrt(np.add.reduceat(values * values, starts)), sizes)
 
 
-def _whole_blocks(asked: DataFrame, sparse: DataFrame, k: int, least: float, digits: int) -> DataFrame:
+def _whole_blocks(asked: DataFrame, kept: DataFrame, k: int, least: float, digits: int) -> DataFrame:
     """``(field, a, b)``, a < b: of the ``asked`` blocks ``(field, block, side, id)`` the pairs of a filed row (side 0) and
     an asking one (side 1) that are among the ``k`` best of either there, by exact similarity and then smaller id, and
     reach ``least``. Blocks stream through; one block's filed rows are held."""
@@ -350,25 +364,36 @@ def _whole_blocks(asked: DataFrame, sparse: DataFrame, k: int, least: float, dig
                     columns = [np.full(len(q), block % 2, np.int32), np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["field", "a", "b"])
 
-    rows = asked.join(sparse.select("field", F.col("doc_id").alias("id"), "terms", "values"), ["field", "id"]).select("block", "side", "id", "terms", "values")
+    rows = asked.join(_of_field(kept, "id"), ["field", "id"]).select("block", "side", "id", "terms", "values")
     return rows.repartition("block").sortWithinPartitions("block", "side", "id").mapInArrow(run, "field int, a long, b long").distinct()
 
 
-def _exact(pairs: DataFrame, sparse: DataFrame, digits: int) -> DataFrame:
-    """``(field, a, b, similarity)``: cosines in double precision."""
+def _exact(pairs: DataFrame, kept: DataFrame, digits: int) -> DataFrame:
+    """``(field, a, b, similarity)``: cosines in double precision. A pair of records that is a candidate by both fields is
+    joined with their terms once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, (t, v, u, w) in enumerate(zip(*batch.columns[3:], strict=True)):
-                x, y = v.values.to_numpy(), w.values.to_numpy()
-                _, at, other = np.intersect1d(t.values.to_numpy(), u.values.to_numpy(), assume_unique=True, return_indices=True)
-                out[i] = np.dot(x[at], y[other]) / math.sqrt(np.dot(x, x) * np.dot(y, y))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.round(out, digits))], ["field", "a", "b", "similarity"])
-
-    x = sparse.select("field", F.col("doc_id").alias("a"), F.col("terms").alias("t"), F.col("values").alias("v"))
-    y = sparse.select("field", F.col("doc_id").alias("b"), F.col("terms").alias("u"), F.col("values").alias("w"))
-    rows = pairs.join(x, ["field", "a"]).join(y, ["field", "b"]).select("field", "a", "b", "t", "v", "u", "w")
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            wanted = batch.column(2).to_numpy()
+            codes = np.unique(np.concatenate([batch.column(k).flatten().to_numpy() for k in (3, 6)]), return_inverse=True)[1].astype(np.int64)
+            own = [np.repeat(np.arange(batch.num_rows), np.diff(batch.column(k).offsets.to_numpy())) for k in (3, 6)]
+            left, right = own[0] << 32 | codes[: len(own[0])], own[1] << 32 | codes[len(own[0]) :]
+            order = np.argsort(left)
+            at = np.minimum(np.searchsorted(left[order], right), max(len(left) - 1, 0))
+            shared = np.flatnonzero(left[order][at] == right) if len(left) else at[:0]
+            at = order[at[shared]]
+            for field in range(len(FIELDS)):
+                x, y = (batch.column(k + field).flatten().to_numpy().astype(np.float64) for k in (4, 7))
+                norm = np.sqrt(np.bincount(own[0], x * x, batch.num_rows) * np.bincount(own[1], y * y, batch.num_rows))
+                dot = np.bincount(own[0][at], x[at] * y[shared], batch.num_rows)
+                asked = np.flatnonzero((wanted >> field & 1).astype(bool) & (norm > 0))
+                columns = [pa.array(np.full(len(asked), field, np.int32)), *(batch.column(k).take(pa.array(asked)) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(dot[asked] / norm[asked], digits))], ["field", "a", "b", "similarity"])
+
+    x = kept.select(F.col("doc_id").alias("a"), F.col("terms").alias("t"), *(F.col(f).alias(f"t{k}") for k, f in enumerate(FIELDS)))
+    y = kept.select(F.col("doc_id").alias("b"), F.col("terms").alias("u"), *(F.col(f).alias(f"u{k}") for k, f in enumerate(FIELDS)))
+    asked = pairs.groupBy("a", "b").agg(F.bit_or(F.col("field") + 1).alias("fields"))
+    rows = asked.join(x, "a").join(y, "b").select("a", "b", "fields", "t", "t0", "t1", "u", "u0", "u1")
     return rows.mapInArrow(run, "field int, a long, b long, similarity double")
 
 
@@ -388,7 +413,8 @@ def nearest(
     ``slack``.
     """
     spark = rows.sparkSession
-    all_rows = scratch.keep(vectors(rows))
+    kept = scratch.keep(records(rows))
+    all_rows = scratch.keep(vectors(kept))
     classes = scratch.keep(all_rows.groupBy("field", "digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     reps = scratch.keep(all_rows.join(classes.select("field", F.col("id").alias("doc_id")), ["field", "doc_id"], "left_semi").select("field", "doc_id", "dense"))
     models = {}
@@ -401,12 +427,10 @@ def nearest(
         return spark.createDataFrame([], "field string, doc_id long, other long, similarity double")
     scanned = scratch.keep(_candidates(reps, models, least, slack, reranked))
     pairs = scanned.where("block is null").select("field", "a", "b")
-    wanted = scratch.keep(scanned.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
-    sparse = scratch.keep(vectors(rows.join(small(wanted, MOST_IDS), "doc_id", "left_semi"), sparse=True))
     asked = scanned.where("block is not null").select("field", "block", F.when(F.col("a").isNull(), 0).otherwise(1).alias("side"), F.coalesce("a", "b").alias("id"))
     if asked.limit(1).count():
-        pairs = scratch.keep(pairs.unionByName(_whole_blocks(asked, sparse, k, least, digits)).distinct())
-    close = scratch.keep(_exact(pairs, sparse, digits).where(F.col("similarity") >= least))
+        pairs = scratch.keep(pairs.unionByName(_whole_blocks(asked, kept, k, least, digits)).distinct())
+    close = scratch.keep(_exact(pairs, kept, digits).where(F.col("similarity") >= least))
     both = close.unionByName(close.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     by_rank = Window.partitionBy("field", "a").orderBy(F.desc("similarity"), "b")
     links = both.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k).drop("r")
