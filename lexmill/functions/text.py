@@ -79,6 +79,15 @@ def processed_words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \n]"), lambda w: w != "")
 
 
+def stop_list(stop: DataFrame, most: int = 100_000) -> frozenset[str]:
+    """The words of a stop-word table, for functions that run outside the JVM. An error beyond ``most``: such a list is no
+    list of stop words, and its words are not dropped silently."""
+    words = stop.where("word is not null").select("word").distinct().limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"more than {most} stop words")
+    return frozenset(r.word for r in words)
+
+
 def stop_filter(rows: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:
     """Rows whose word is no stop word. The list is a fixed file of some hundred words; Spark broadcasts it
     when its size statistics are under the broadcast threshold."""

@@ -58,7 +58,7 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
 def process_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles normalised line by line, without stop words, stemmed; of repeated ones the newest row with text lines. All
     of them, also those without a stored ``processed_text``, which the SQL can't give."""
-    stop = frozenset(r.word for r in table(spark, d, "stop_words").collect())
+    stop = text.stop_list(table(spark, d, "stop_words"))
     newest = F.max(F.struct(F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp")), "text_lines"))["text_lines"].alias("text_lines")
     rows = table(spark, d, "articles").where("text_lines is not null").groupBy("doc_id").agg(newest)
     return rows.select("doc_id", text.process_text(F.col("text_lines"), stop).alias("processed"))
