@@ -72,27 +72,36 @@ def _batches(batches: Iterator[pa.RecordBatch], stop: frozenset[str]) -> Iterato
         yield ids.to_numpy(zero_copy_only=False).astype(np.int64), whole
 
 
-def shared_runs(texts: DataFrame, stop: frozenset[str], k: int, threshold: float) -> DataFrame:
+def shared_runs(texts: DataFrame, stop: frozenset[str], k: int, threshold: float, often: int = 16) -> DataFrame:
     """``(doc_id, size, tokens, counts)``: of each record that can have a partner at all the number of its runs and, sorted,
     those that occur in another record, too, with the number of records seen to hold them. Exact: the overlap of two sets with that similarity is at least the
     ``threshold``'s share of either, and an overlap consists of shared runs only.
 
     The one large shuffle sends each (run, record) to the run's place, sorted; there a single pass with constant
-    memory tells runs of one record from shared ones, however many records share them.
+    memory tells runs of one record from shared ones, however many records share them. A run that ``often`` or more
+    records of a batch hold is known to be shared where it is found: all but the first of these rows go to the
+    record's place instead, so a run of a third of all records is no burden to one task.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, whole in _batches(batches, stop):
             record, h = shingle_sets(whole, k)
             sizes = np.bincount(record, minlength=len(ids))[record]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[record]), pa.array(sizes.astype(np.int32))], ["h", "doc_id", "size"]
-            )
+            _, first, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            h, hot = h.view(np.int64), (n[at] >= often) & (first[at] != np.arange(len(h)))
+            # a known run's place is that of its record; its count, negative, tells it from the others
+            place = np.where(hot, mix(ids[record].view(_U)).view(np.int64), h)
+            columns = [place, ids[record], sizes.astype(np.int32), np.where(hot, -n[at], 0).astype(np.int32), np.where(hot, h, 0)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["place", "doc_id", "size", "known", "h"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (run, record, size, whether it was sent on) of the row before this batch
         for batch in batches:
-            h, ids, size = (batch.column(i).to_numpy() for i in range(3))
+            h, ids, size, known, run = (batch.column(i).to_numpy() for i in range(5))
+            if (hot := known < 0).any():
+                columns = [ids[hot], size[hot], run[hot], -known[hot]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "size", "h", "count"])
+                h, ids, size = h[~hot], ids[~hot], size[~hot]
             if not len(h):
                 continue
             sent = np.zeros(len(h), bool)
@@ -111,9 +120,12 @@ def shared_runs(texts: DataFrame, stop: frozenset[str], k: int, threshold: float
             last = (h[-1:], ids[-1:], size[-1:], (hit | sent)[-1:])
             yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(size[new]), pa.array(h[new]), pa.array(count[new].astype(np.int32))], ["doc_id", "size", "h", "count"])
 
-    runs = texts.mapInArrow(emit, "h long, doc_id long, size int")
-    parts = runs.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(shared, "doc_id long, size int, h long, count int")
+    runs = texts.mapInArrow(emit, "place long, doc_id long, size int, known int, h long")
+    parts = runs.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(shared, "doc_id long, size int, h long, count int")
     sets = parts.groupBy("doc_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("h", "count"))).alias("runs"))
+    runs = F.col("runs")  # a repeated row may have come both ways
+    once = F.filter(runs, lambda x, i: (i == 0) | (x["h"] != F.coalesce(F.get(runs, i - 1)["h"], F.bitwise_not(x["h"]))))
+    sets = sets.select("doc_id", "size", once.alias("runs"))
     able = sets.where(F.size("runs") >= F.ceil(F.col("size") * threshold - 1e-9))
     return able.select("doc_id", "size", F.col("runs.h").alias("tokens"), F.col("runs.count").alias("counts"))
 

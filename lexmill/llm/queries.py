@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import stop_list
 from lexmill.llm import distinctive, encode, flow_clusters, frequency, leak, markup, near_dup, neighbors, pii, set_join
 from lexmill.llm.bags import Bags, term_bags, term_sets
 from lexmill.llm.hashing import fold_copies
@@ -83,8 +84,7 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    stop = frozenset(r.word for r in table(spark, d, "stop_words").where("word is not null").select("word").distinct().limit(100_000).collect())
-    return near_dup.near_duplicates(near_dup.article_texts(table(spark, d, "articles"), scratch), scratch, stop)
+    return near_dup.near_duplicates(near_dup.article_texts(table(spark, d, "articles"), scratch), scratch, stop_list(table(spark, d, "stop_words")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

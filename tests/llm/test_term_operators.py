@@ -230,6 +230,18 @@ def test_near_duplicates_of_a_large_family(spark, scratch, monkeypatch):
     assert got == brute_groups(texts, 3, 0.5)
 
 
+def test_run_in_half_of_all_records(spark, scratch):
+    """Rows of a hot run go to their records' places, the groups are those of brute force; repeated rows change nothing."""
+    texts = edited(7, 60) | {9000 + i: "a b c d e f " + " ".join(f"own{i}x{j}" for j in range(3 if i % 3 else 9)) for i in range(90)}
+    rows = [(i, None, t, None) for i, t in texts.items()]
+    frame = near_dup.article_texts(articles_of(spark, rows + rows[-40:]), scratch)
+    parts = near_dup.shared_runs(frame.coalesce(1), frozenset(), 3, 0.1, often=4)
+    for r in parts.collect():
+        assert len(set(r.tokens)) == len(r.tokens) == len(r.counts)
+    got = {tuple(r) for r in near_dup.near_duplicates(frame, scratch).collect()}
+    assert got == brute_groups(texts, 3, 0.5)
+
+
 def test_article_texts(spark, scratch):
     from datetime import datetime
 
