@@ -26,9 +26,14 @@ def delta_encode(ids: Column) -> Column:
 
 
 def delta_decode(gaps: Column) -> Column:
-    """Running sums of the gaps."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(gaps, start, lambda done, gap: F.concat(done, F.array(gap + F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)))))
+    """Running sums of the gaps; null for null and for an array that holds one. A fold over arrays would copy what it has at
+    every step, so this is an Arrow function, linear in the list."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None or any(g is None or g != g for g in x) else np.cumsum(np.asarray(x, np.int64)))
+
+    return run(gaps)
 
 
 def fibonacci_encode(value: Column) -> Column:
@@ -65,7 +70,13 @@ def split_codes(bits: Column) -> Column:
 
 
 def decode_ids(bits: Column) -> Column:
-    return delta_decode(F.transform(split_codes(bits), fibonacci_decode))
+    """Ids of such a bit string; null for null."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else _ids(np.frombuffer(x.encode(), np.uint8) == 49))
+
+    return run(bits)
 
 
 def pack_bits(bits: Column) -> Column:
@@ -106,7 +117,10 @@ def _pack(lists: list[np.ndarray]) -> list[bytes]:
 
 def _unpack(data: bytes) -> np.ndarray:
     """Ids of packed code words. In a run of ones every second one ends a code word; zeros at the end form none."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+    return _ids(np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool))
+
+
+def _ids(bits: np.ndarray) -> np.ndarray:
     at = np.arange(len(bits))
     before = np.maximum.accumulate(np.where(bits, -1, at)) if len(bits) else at
     ends = np.flatnonzero(bits & ((at - before) % 2 == 0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lexmill.functions.codec import fibonacci_numbers
 from lexmill.functions.text import LOWER, SPACED, UPPER
+from lexmill.operators.index import keywords
+from lexmill.plans.queries import STEMMED_QUERY
 
 NORMALIZED = (
     f"regexp_replace(translate(text, '{UPPER}{SPACED}' || chr(10), '{LOWER}{' ' * (len(SPACED) + 1)}'), '[^a-z0-9 ]', '', 'g')"
@@ -28,6 +30,16 @@ best AS (SELECT doc_id, cluster, sim FROM (SELECT *, row_number() OVER (PARTITIO
 assigned AS (SELECT doc_id, coalesce(cluster, 0)::INTEGER AS cluster FROM documents LEFT JOIN best USING (doc_id)),
 members AS (SELECT cluster, count(*) AS size FROM assigned GROUP BY cluster),
 means AS (SELECT cluster, term, sum(v) / any_value(size) AS c FROM vectors JOIN assigned USING (doc_id) JOIN members USING (cluster) GROUP BY cluster, term)"""
+STEMMED = "'" + "', '".join(sorted(set(keywords(STEMMED_QUERY)))) + "'"
+ARTICLES = f"""newest AS (SELECT doc_id, arg_max(processed_words, coalesce(ingested_at, TIMESTAMP '1970-01-01')) AS w FROM articles
+                WHERE processed_words IS NOT NULL GROUP BY doc_id),
+spread AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM newest), postings_ AS (SELECT * FROM spread WHERE {TERM.format('term')}),
+docs AS (SELECT DISTINCT doc_id FROM articles WHERE doc_id IS NOT NULL), total AS (SELECT count(*)::DOUBLE AS n FROM docs),
+stats AS (SELECT term, log10((SELECT n FROM total) / count(*)) AS idf FROM postings_ GROUP BY term),
+weighed AS (SELECT doc_id, term, idf AS weight FROM postings_ JOIN stats USING (term)),
+sums AS (SELECT doc_id, sum(weight * weight) AS w2 FROM weighed GROUP BY doc_id),
+hits AS (SELECT doc_id, sum(weight / w2 / sqrt({len(keywords(STEMMED_QUERY))}::DOUBLE)) AS score FROM weighed JOIN sums USING (doc_id)
+         WHERE term IN ({STEMMED}) AND w2 > 0 GROUP BY doc_id)"""
 NESTED = f"{POSTINGS}, nested AS (SELECT term, list_sort(list(doc_id)) AS ids FROM postings_ GROUP BY term)"
 SGML = """latest AS (SELECT path, line_no, arg_max(line, ingested_at) AS line FROM sgml_lines GROUP BY path, line_no),
 numbered AS (SELECT *, coalesce(sum(CASE WHEN starts_with(line, '</REUTERS>') THEN 1 ELSE 0 END)
@@ -46,10 +58,10 @@ CASE WHEN rest >= f[i] THEN '1' || bits WHEN bits = '' THEN '' ELSE '0' || bits
 SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {NORMALIZED} AS normalized FROM documents",
     "tokenize_terms": f"""
-WITH split AS (SELECT doc_id, list_filter(string_split({NORMALIZED}, ' '), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda t: {TERM.format('t')})) AS n_terms FROM split""",
+WITH split AS (SELECT doc_id, list_filter(string_split({NORMALIZED}, ' '), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(len(list_filter(w, lambda t: {TERM.format('t')})), 0) AS n_terms FROM split""",
     "stopword_filter": f"WITH {WORDS} SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM stop_words) GROUP BY word",
-    "process_articles": """
+    "process_articles_stored": """
 SELECT doc_id, any_value(processed_text) AS processed FROM articles
 WHERE text_lines IS NOT NULL AND processed_text IS NOT NULL GROUP BY doc_id""",
     "processed_words": """
@@ -72,6 +84,16 @@ t1 AS (SELECT a, b, t FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY
 w1 AS (SELECT a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM both_ WHERE w > 0) WHERE r = 1)
 SELECT doc_id, coalesce(t1.b, -1) AS tf_doc, coalesce(t, 0) AS tf_sim, coalesce(w1.b, -1) AS tfidf_doc, coalesce(w, 0) AS tfidf_sim
 FROM documents LEFT JOIN t1 ON t1.a = doc_id LEFT JOIN w1 ON w1.a = doc_id""",
+    "article_boolean_query": f"""
+WITH {ARTICLES} SELECT doc_id FROM postings_ WHERE term IN ({STEMMED}) GROUP BY doc_id HAVING count(*) = {len(set(keywords(STEMMED_QUERY)))}""",
+    "article_ranked_query": f"""
+WITH {ARTICLES}, scored AS (SELECT doc_id, round(coalesce(score, 0), 9) AS score FROM docs LEFT JOIN hits USING (doc_id))
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10""",
+    "text_index_round_trip": f"WITH {POSTINGS} SELECT doc_id, term, 1::BIGINT AS tf FROM postings_",
+    "similarity_matrix": f"""
+WITH {PAIRS} SELECT a, b, round(tf_sim, 12) AS sim FROM pairs UNION ALL SELECT b, a, round(tf_sim, 12) FROM pairs""",
+    "common_documents": f"""
+WITH {POSTINGS} SELECT doc_id FROM postings_ WHERE term IN ('market', 'october') GROUP BY doc_id HAVING count(*) = 2""",
     "similarity_pairs": f"WITH {PAIRS} SELECT a, b, round(tf_sim, 12) AS tf_sim, round(tfidf_sim, 6) AS tfidf_sim FROM pairs",
     "kmeans_assign_iter1": f"WITH {KMEANS} SELECT doc_id, cluster FROM assigned",
     "kmeans_centroids_iter1": f"WITH {KMEANS} SELECT cluster, term, round(c, 9) AS c FROM means",

@@ -18,6 +18,7 @@ from lexmill.sources.tables import Scratch, table
 
 AND_QUERY, RANKED_QUERY = "market october", "market october wheat"
 PATTERN, APPROXIMATE, ERRORS, REGEX = "ana", "market", 2, "oil|gas*|coffee"
+STEMMED_QUERY = "harvested markets"
 CLUSTERS = 5
 
 
@@ -30,8 +31,18 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
+    docs, scratch = _docs(spark, d), Scratch(spark)
+    rows, n = scratch.keep(index.postings(docs)), docs.count()
+    return vsm.vector_model(rows, n, stats=scratch.keep(index.document_frequencies(rows, n)))
+
+
+def _ranked(spark: SparkSession, d: str, words: list[str]) -> DataFrame:
+    """The ranked query: term statistics are those of all documents, vectors are made only of the documents with a hit."""
     docs = _docs(spark, d)
-    return vsm.vector_model(Scratch(spark).keep(index.postings(docs)), docs.count())
+    n, query = docs.count(), index.query_table(spark, words)
+    stats = Scratch(spark).keep(index.document_frequencies(index.postings(docs), n))
+    hits = docs.where(F.arrays_overlap(text.terms(F.col("text")), F.lit([w for w in words if w] or [""])))
+    return vsm.ranked(vsm.scores(vsm.vector_model(index.postings(hits), n, stats=stats), query, docs))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +57,9 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    words, terms = text.words(F.col("text")), text.terms(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(words).alias("n_words"), F.size(terms).alias("n_terms")).where("n_words >= 0")
+    whole = F.coalesce("text", F.lit(""))
+    words, terms = text.words(whole), text.terms(whole)
+    return _docs(spark, d).select("doc_id", F.size(words).alias("n_words"), F.size(terms).alias("n_terms"))
 
 
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +69,19 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def process_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles normalised line by line, without stop words, stemmed; of repeated ones the newest row with text lines. All
-    of them, also those without a stored ``processed_text``, which the SQL can't give."""
+    of them, also those without a stored ``processed_text``, which SQL can't stem."""
     stop = text.stop_list(table(spark, d, "stop_words"))
     newest = F.max(F.struct(F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp")), "text_lines"))["text_lines"].alias("text_lines")
     rows = table(spark, d, "articles").where("text_lines is not null").groupBy("doc_id").agg(newest)
     return rows.select("doc_id", text.process_text(F.col("text_lines"), stop).alias("processed"))
 
 
+def process_articles_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Of ``process_articles`` the texts of articles that have a stored one, too: SQL can tell what they should be."""
+    stored = table(spark, d, "articles").where("text_lines is not null and processed_text is not null").select("doc_id").distinct()
+    return process_articles(spark, d).join(stored, "doc_id", "left_semi")
+
+
 def processed_words(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles").where("processed_text is not null").dropDuplicates(["doc_id"])
     return rows.select("doc_id", F.array_join(text.processed_words(F.col("processed_text")), " ").alias("words"))
@@ -93,7 +111,7 @@ def boolean_and_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_query_top10(spark: SparkSession, d: str) -> DataFrame:
-    return vsm.ranked(vsm.scores(_model(spark, d), index.query_table(spark, RANKED_QUERY.split(" ")), _docs(spark, d)))
+    return _ranked(spark, d, RANKED_QUERY.split(" "))
 
 
 def most_similar_document(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +127,9 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_assignment(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs, vectors = _docs(spark, d), Scratch(spark).keep(_vectors(spark, d))
-    return vectors, cluster.assign(vectors, cluster.seed_centroids(vectors, cluster.seeds(docs, CLUSTERS)), docs)
+    docs, scratch = _docs(spark, d), Scratch(spark)
+    vectors = scratch.keep(_vectors(spark, d))
+    return vectors, cluster.assign(vectors, scratch.keep(cluster.seed_centroids(vectors, cluster.seeds(docs, CLUSTERS))), docs)
 
 
 def kmeans_assign_iter1(spark: SparkSession, d: str) -> DataFrame:
@@ -123,8 +142,9 @@ def kmeans_centroids_iter1(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_quality_iter1(spark: SparkSession, d: str) -> DataFrame:
     vectors, assigned = _first_assignment(spark, d)
-    kept = Scratch(spark).keep(assigned)
-    return cluster.quality(vectors, kept, cluster.centroids(vectors, kept), CLUSTERS).select(F.round("quality", 9).alias("quality"))
+    scratch = Scratch(spark)
+    kept = scratch.keep(assigned)
+    return cluster.quality(vectors, kept, scratch.keep(cluster.centroids(vectors, kept)), CLUSTERS).select(F.round("quality", 9).alias("quality"))
 
 
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +222,49 @@ def sgml_document_ids(spark: SparkSession, d: str) -> DataFrame:
     return sgml.document_ids(sgml.newest_lines(table(spark, d, "sgml_lines")))
 
 
+def _article_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Stemmed postings of the articles: the terms of the newest stored ``processed_words``."""
+    newest = F.max_by("processed_words", F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp"))).alias("words")
+    rows = table(spark, d, "articles").where("processed_words is not null").groupBy("doc_id").agg(newest)
+    flat = index.exploded(rows, F.array_distinct("words"), "term")
+    return flat.where(text.is_term(F.col("term"))).withColumn("tf", F.lit(1).cast("long"))
+
+
+def article_boolean_query(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that hold all keywords; the query's words are stemmed as those of the articles are."""
+    return index.boolean_and(_article_postings(spark, d), index.keywords(STEMMED_QUERY))
+
+
+def article_ranked_query(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best articles for the stemmed keywords."""
+    scratch, docs = Scratch(spark), table(spark, d, "articles").where("doc_id is not null").select("doc_id").distinct()
+    rows, n = scratch.keep(_article_postings(spark, d)), docs.count()
+    query = index.query_table(spark, index.keywords(STEMMED_QUERY))
+    hits = rows.join(rows.join(F.broadcast(query.select("term").distinct()), "term", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    stats = scratch.keep(index.document_frequencies(rows, n))
+    return vsm.ranked(vsm.scores(vsm.vector_model(hits, n, stats=stats), query, docs))
+
+
+def text_index_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Postings written as an index file and read again."""
+    path = f"{Scratch(spark).root}/index"
+    index_files.write_index(index.inverted_index(_postings(spark, d)), path)
+    return index_files.read_index(spark, path)
+
+
+def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' similarities both ways by the term weights."""
+    found = vsm.similarity_matrix(Scratch(spark).keep(_model(spark, d)))
+    return found.select("a", "b", F.round("sim", 12).alias("sim"))
+
+
+def common_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of two terms' lists: the intersection of their ids."""
+    lists = index.inverted_index(_postings(spark, d).where(F.col("term").isin(AND_QUERY.split(" "))))
+    ids = lists.agg(*(F.max(F.when(F.col("term") == w, F.col("doc_ids"))).alias(w) for w in AND_QUERY.split(" ")))
+    return ids.select(F.explode(index.contains_all(*(F.col(w) for w in AND_QUERY.split(" ")))).alias("doc_id"))
+
+
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return index.tokens(_docs(spark, d)).select("word").distinct().select("word", stem(F.col("word")).alias("stem"))
 
@@ -216,10 +279,11 @@ def stemmed_ranked_query(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_text, tokenize_terms, stopword_filter, process_articles, processed_words, term_frequency, inverted_index,
+        normalize_text, tokenize_terms, stopword_filter, process_articles, process_articles_stored, processed_words, term_frequency, inverted_index,
         document_frequency_idf, vector_model, boolean_and_query, ranked_query_top10, most_similar_document, similarity_pairs,
         kmeans_assign_iter1, kmeans_centroids_iter1, kmeans_quality_iter1, kmeans_clusters, delta_encode, delta_decode,
         fibonacci_encode, fibonacci_decode, compressed_index, find_all_occurrences, count_occurrences, approximate_match,
         regex_match, embedding_distance, sgml_articles, sgml_text_lines, sgml_document_ids, stem_vocabulary, stemmed_ranked_query,
+        article_boolean_query, article_ranked_query, text_index_round_trip, similarity_matrix, common_documents,
     )
 }
