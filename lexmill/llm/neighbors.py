@@ -24,6 +24,8 @@ DIMENSIONS, PLACES, PART = 128, 4, 2
 SAMPLE, SAMPLE_OF_LIST, SAMPLE_OF_CODES = 65_536, 64, 6_144
 #: Rows of a list on average, lists that a query visits at least, index rows that are scanned at once.
 LIST, VISITED, BLOCK = 1000, 6, 4096
+#: Blocks of a group.
+GROUP = 4
 #: Standard deviations of the part of a neighbour's offset that points to another list; lists within them are visited.
 REACH = 2.5
 #: Candidates of a query in a block up to which they are verified as pairs, beyond which the query is compared exactly
@@ -35,12 +37,27 @@ PARALLEL = 4.0
 
 @dataclass
 class Model:
-    """Centroids (lists, d), codebooks (parts, 16, 2) and the number of blocks of each list."""
+    """Centroids (lists, d), codebooks (parts, 16, 2), the number of blocks of each list, and the groups of blocks that lie
+    together: a query travels once to a group, with a mask of the blocks in it that it asks."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
     blocks: np.ndarray
 
+    def __post_init__(self) -> None:
+        # lists in a chain, each followed by the nearest one that is left
+        order, left = [0], np.ones(len(self.centroids), bool)
+        left[0] = False
+        while left.any():
+            rest = np.flatnonzero(left)
+            order.append(int(rest[(self.centroids[rest] @ self.centroids[order[-1]]).argmax()]))
+            left[order[-1]] = False
+        self.base = np.r_[0, np.cumsum(self.blocks)]
+        place = np.concatenate([np.arange(self.base[x], self.base[x + 1]) for x in order])
+        self.slot = np.empty(len(place), np.int64)  # of each block: group * GROUP + bit
+        self.slot[place] = np.arange(len(place))
+        self.list_of = np.repeat(np.arange(len(self.blocks)), self.blocks)[place]  # of each slot
+
 
 def project(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Sparse vectors by signed feature hashing as unit vectors of ``DIMENSIONS``; equal vectors stay equal and inner
@@ -244,73 +261,87 @@ def _candidates(reps: DataFrame, models: dict[int, Model], least: float, slack:
                     continue
                 name, dense = ids[at], _dense(batch.column(2).take(pa.array(at)))
                 own, who, visited = _visited(dense, model.centroids, least)
-                base = np.r_[0, np.cumsum(model.blocks)]
                 codes = anisotropic_codes(dense - model.centroids[own], dense, model.codebooks)
                 packed = (codes[:, ::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
-                home = base[own] + (mix(name.view(_U)) % model.blocks[own].astype(_U)).astype(np.int64)
+                home = model.slot[model.base[own] + (mix(name.view(_U)) % model.blocks[own].astype(_U)).astype(np.int64)]
                 times = model.blocks[visited]
                 who = np.repeat(who, times)
-                asked = np.repeat(base[visited], times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                asked = model.slot[np.repeat(model.base[visited], times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)]
+                groups = len(model.slot) // GROUP + 1
+                order = np.argsort(who * groups + asked // GROUP, kind="stable")
+                who, asked = who[order], asked[order]
+                first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (asked[1:] // GROUP != asked[:-1] // GROUP)])
+                masks = np.bitwise_or.reduceat(1 << asked % GROUP, first)
+                who, asked = who[first], asked[first]
                 raw = batch.column(2).take(pa.array(at))
-                group = np.r_[home, asked] * 2 + field
                 side = np.repeat([0, 1], [len(home), len(asked)]).astype(np.int32)
                 data = pa.concat_arrays([pa.array([x.tobytes() for x in packed], pa.binary()), raw.take(pa.array(who))])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(side), pa.array(np.r_[name, name[who]]), data], ["block", "side", "id", "data"])
+                columns = [np.r_[home, asked] // GROUP * 2 + field, side, np.r_[name, name[who]], np.r_[1 << home % GROUP, masks].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), data], ["group", "side", "id", "mask", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, filed, decoded, opened = None, None, None, False
+        group, filed = None, None
         waiting: list[pa.RecordBatch] = []
 
-        def decode() -> np.ndarray:
-            """Looks the filed codes up in the tables; a row's score is the sum of its looked-up parts against the
-            query's, all of which one matrix product gives."""
-            model = sent.value[block % 2]
-            packed = np.frombuffer(b"".join(x for part in waiting for x in part.column(3).to_pylist()), np.uint8).reshape(-1, DIMENSIONS // PART // 2)
-            codes = np.empty((len(packed), DIMENSIONS // PART), np.uint8)
-            codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
-            values = np.concatenate([model.codebooks[m][codes[:, m]] for m in range(codes.shape[1])], 1)
-            base = np.r_[0, np.cumsum(model.blocks)]
-            return values + model.centroids[np.searchsorted(base, block // 2, side="right") - 1]
-
-        def found(a: np.ndarray | None, b: np.ndarray | None, whole: bool) -> pa.RecordBatch:
+        def decode() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            """Ids and decoded rows of each filed block. The codes are looked up in the tables; a row's score is the sum of
+            its looked-up parts against the query's, all of which one matrix product gives."""
+            model = sent.value[group % 2]
+            packed = np.frombuffer(b"".join(x for part in waiting for x in part.column(4).to_pylist()), np.uint8).reshape(-1, DIMENSIONS // PART // 2)
+            ids, masks = (np.concatenate([x.column(k).to_numpy() for x in waiting]) for k in (2, 3))
+            out = {}
+            for mask in np.unique(masks):
+                own, bit = np.flatnonzero(masks == mask), int(mask).bit_length() - 1
+                codes = np.empty((len(own), DIMENSIONS // PART), np.uint8)
+                codes[:, ::2], codes[:, 1::2] = packed[own] & 15, packed[own] >> 4
+                values = np.concatenate([model.codebooks[m][codes[:, m]] for m in range(codes.shape[1])], 1)
+                out[bit] = ids[own], (values + model.centroids[model.list_of[group // 2 * GROUP + bit]]).astype(np.float32)
+            return out
+
+        def found(a: np.ndarray | None, b: np.ndarray | None, bit: int | None) -> pa.RecordBatch:
             n = len(b if a is None else a)
             names = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b)]
-            at = pa.array(np.full(n, block)) if whole else pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block % 2, np.int32)), *names, at], ["field", "a", "b", "block"])
+            at = pa.nulls(n, pa.int64()) if bit is None else pa.array(np.full(n, group * GROUP + bit))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, group % 2, np.int32)), *names, at], ["field", "a", "b", "block"])
 
         for batch in batches:
             key, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]), True]) if len(key) else []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if key[s] != block:
-                    block, filed, decoded, opened, waiting = int(key[s]), None, None, False, []
+                if key[s] != group:
+                    group, filed, opened, waiting = int(key[s]), None, set(), []
                 part = batch.slice(s, e - s)
                 if side[s] == 0:
                     waiting.append(part)
                     continue
                 if not waiting:
                     continue
-                if decoded is None:
-                    decoded, filed = decode(), np.concatenate([x.column(2).to_numpy() for x in waiting])
-                for at in range(0, e - s, 512):
-                    chunk = part.slice(at, 512)
-                    asking = chunk.column(2).to_numpy()
-                    score = _dense(chunk.column(3)) @ decoded.T
-                    score[asking[:, None] == filed[None]] = -2
-                    close = score >= least - slack
-                    many = close.sum(1) > reranked
-                    if many.any():
-                        if not opened:
-                            yield found(None, filed, True)
-                        opened = True
-                        yield found(asking[many], None, True)
-                        close[many] = False
-                    q, x = np.nonzero(close)
-                    if len(q):
-                        yield found(np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x]), False)
-
-    rows = spread(reps.select("field", "doc_id", "dense"), "doc_id").mapInArrow(assign, "block long, side int, id long, data binary")
-    sorted_rows = rows.repartition("block").sortWithinPartitions("block", "side")
+                if filed is None:
+                    filed = decode()
+                for at in range(0, e - s, 1024):
+                    chunk = part.slice(at, 1024)
+                    queries, ids, masks = _dense(chunk.column(4)), chunk.column(2).to_numpy(), chunk.column(3).to_numpy()
+                    for bit, (names, decoded) in filed.items():
+                        own = np.flatnonzero(masks >> bit & 1)
+                        if not len(own):
+                            continue
+                        asking = ids[own]
+                        score = queries[own] @ decoded.T
+                        score[asking[:, None] == names[None]] = -2
+                        close = score >= least - slack
+                        many = close.sum(1) > reranked
+                        if many.any():
+                            if bit not in opened:
+                                yield found(None, names, bit)
+                            opened.add(bit)
+                            yield found(asking[many], None, bit)
+                            close[many] = False
+                        q, x = np.nonzero(close)
+                        if len(q):
+                            yield found(np.minimum(asking[q], names[x]), np.maximum(asking[q], names[x]), None)
+
+    rows = spread(reps.select("field", "doc_id", "dense"), "doc_id").mapInArrow(assign, "group long, side int, id long, mask int, data binary")
+    sorted_rows = rows.repartition("group").sortWithinPartitions("group", "side")
     return sorted_rows.mapInArrow(scan, "field int, a long, b long, block long").distinct()
 
 
@@ -361,7 +392,7 @@ def _whole_blocks(asked: DataFrame, kept: DataFrame, k: int, least: float, digit
                     np.put_along_axis(chosen, of_asking, True, 1)
                     best = -np.sort(-np.concatenate([best, top]), axis=0)[:k]
                     q, x = np.nonzero(chosen & (score >= least))
-                    columns = [np.full(len(q), block % 2, np.int32), np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])]
+                    columns = [np.full(len(q), block // GROUP % 2, np.int32), np.minimum(asking[q], filed[x]), np.maximum(asking[q], filed[x])]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["field", "a", "b"])
 
     rows = asked.join(_of_field(kept, "id"), ["field", "id"]).select("block", "side", "id", "terms", "values")
