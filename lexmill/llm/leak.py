@@ -136,12 +136,11 @@ def find_spans(automaton: ItemAutomaton, text: str) -> list[tuple[int, int, int]
 
 
 def without_spans(text: str, spans: list[tuple[int, int]], most_covered: float) -> str | None:
-    """The text without the spans of words; null if they cover more than ``most_covered`` of its words. Character
-    offsets hold although lower-casing can change a text's length: words are found in the original, too."""
-    places = [m.span() for m in _word.finditer(text)]
-    lowered = [m.span() for m in _word.finditer(text.lower())]
-    if len(places) != len(lowered):  # lower-casing made or broke words: cut by proportion of the lowered text
-        text, places = text.lower(), lowered
+    """The text without the spans of words; null if they cover more than ``most_covered`` of its words. Words are those of
+    the lower-cased text; each of its characters is known by the one that it came from, as lower-casing can make several
+    of one, and so the rest of the text stays as it is."""
+    source = [i for i, c in enumerate(text) for _ in c.lower()]
+    places = [(source[m.start()], source[m.end() - 1] + 1) for m in _word.finditer(text.lower())]
     covered = set()
     for a, b in spans:
         covered.update(range(a, b))
