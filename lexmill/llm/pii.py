@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -213,22 +214,32 @@ def _street_places(text: str) -> Iterator[tuple[int, int]]:
             at = text.find(word, at + 1)
 
 
+#: Words before and after digits or a street's name that a number or address can take up.
+NEAR = 8
 _quantity = re.compile(r"(?i)\b(?:about|around|some|nearly|almost|over|roughly|than|environ|etwa|unos)\s+$")
 
 
-def _near(text: str, places: Iterable[tuple[int, int]], before: int, after: int) -> Iterator[tuple[int, int]]:
-    """Stretches around the places, those that touch joined, so that a dear pattern sees little of the text."""
-    start = end = -1
-    for first, last in sorted(places):
-        a, b = max(0, first - before), min(len(text), last + after)
-        if start >= 0 and a <= end:
-            end = max(end, b)
+_token = re.compile(r"\S+")
+
+
+def _near(text: str, places: Iterable[tuple[int, int]], words: int) -> Iterator[tuple[int, int]]:
+    """Stretches of so many words around the places, those that touch joined, so that a dear pattern sees little of the text.
+    Words and what stands between them may have any length: no match of so many words is cut off."""
+    places = sorted(places)
+    if not places:
+        return
+    tokens = [m.span() for m in _token.finditer(text)]
+    starts = [a for a, _ in tokens]
+    first = last = -1
+    for a, b in places:
+        k, j = max(bisect_right(starts, a) - 1, 0), max(bisect_right(starts, b - 1) - 1, 0)
+        if first >= 0 and k - words <= last:
+            last = max(last, j + words)
             continue
-        if start >= 0:
-            yield start, end
-        start, end = a, b
-    if start >= 0:
-        yield start, end
+        if first >= 0:
+            yield starts[first], tokens[min(last, len(tokens) - 1)][1]
+        first, last = max(k - words, 0), j + words
+    yield starts[first], tokens[min(last, len(tokens) - 1)][1]
 
 
 def find(text: str, names: Names) -> list[tuple[int, int, str]]:
@@ -245,13 +256,13 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     if "@" in t:
         for m in EMAIL.finditer(t):
             claim(*m.span(), "email")
-    windows = list(_near(t, (m.span() for m in _digits.finditer(t)), 44, 16))
+    windows = list(_near(t, (m.span() for m in _digits.finditer(t)), NEAR))
     for pattern, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")):
         for start, end in windows:
             for m in pattern.finditer(t, start, end):
                 if not _no_case.search(t, max(0, m.start() - 24), m.start()):
                     claim(*m.span(), kind)
-    for start, end in _near(t, _street_places(t), 64, 64):
+    for start, end in _near(t, _street_places(t), NEAR):
         for m in ADDRESS.finditer(t, start, end):
             if not _quantity.search(t, max(0, m.start() - 12), m.start()):
                 claim(*m.span(), "address")
@@ -278,7 +289,7 @@ _signs = (
     rf"\b({_java_cap})-{_java_cap}\s+(?:[A-Z]\.\s+)?{_java_cap}",
     rf"\b{_java_cap}-({_java_cap})\s+(?:[A-Z]\.\s+)?{_java_cap}",
 )
-#: Given names that are sent to the executors at most (some 30 MB).
+#: Names up to which they are sent to the executors (some 30 MB); more are joined with the texts' words.
 MOST_NAMES = 500_000
 
 
@@ -306,27 +317,31 @@ def personal_information(documents: DataFrame, name_list: DataFrame, learn: bool
     Each text is undisguised by transducers that keep offsets, identifiers are detected in what they give, and the
     spans are mapped back. Null texts and null ids give nothing, a repeated row repeated results, an empty list of
     names and empty tables work; other columns are ignored. The list of names is incomplete, so given names are also learned from
-    their place in the whole collection (``learn``); both are checked for size and broadcast. The detection itself
-    does not shuffle.
+    their place in the whole collection (``learn``). Up to ``MOST_NAMES`` they are broadcast and the detection does not
+    shuffle; more are joined with the words of the texts.
     """
     spark = documents.sparkSession
-    listed = name_list.select("name_text", "kind").where("name_text is not null")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    listed = name_list.select("name_text", "kind").where("name_text is not null and kind in ('given', 'family')").distinct()
     given = listed.where("kind = 'given'").select("name_text")
     if learn:
         given = given.unionByName(learned_given(documents))
-    given = [r.name_text for r in given.distinct().limit(MOST_NAMES + 1).collect()]
-    family = [r.name_text for r in listed.where("kind = 'family'").select("name_text").distinct().limit(MOST_NAMES + 1).collect()]
-    if max(len(given), len(family)) > MOST_NAMES:
-        raise ValueError("too many names to broadcast; raise least_documents or MOST_NAMES")
-    sent = spark.sparkContext.broadcast((frozenset(given), frozenset(family)))
+    names = given.distinct().withColumn("kind", F.lit("given")).unionByName(listed.where("kind = 'family'"))
+    few = names.limit(MOST_NAMES + 1).collect()
+    if len(few) > MOST_NAMES:  # each text brings those of its own words that are names
+        rows = _with_names(rows, names)
+        few = []
+    else:
+        rows = rows.withColumns({kind: F.lit(None).cast("array<string>") for kind in ("given", "family")})
+    sent = spark.sparkContext.broadcast(tuple(frozenset(r.name_text for r in few if r.kind == kind) for kind in ("given", "family")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(*sent.value)
+        everywhere = Names(*sent.value)
         for batch in batches:
             keys, kinds, texts = [], [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, value, *own in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 text = value.as_py()
-                found = find(text, names)
+                found = find(text, everywhere if own[0] is None and own[1] is None else Names(*(frozenset(x or ()) for x in own)))
                 if found:
                     keys.append(key)
                     kinds.append(sorted({k for *_, k in found}))
@@ -334,5 +349,22 @@ def personal_information(documents: DataFrame, name_list: DataFrame, learn: bool
             arrays = [pa.array(keys, pa.int64()), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "kinds", "text"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, kinds array<string>, text string")
+    return rows.select("doc_id", "text", "given", "family").mapInArrow(run, "doc_id long, kinds array<string>, text string")
+
+
+def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with the names among the capitalised words, and their hyphenated parts, of each text without disguises."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {x for w in _capital.findall(Undisguised(text).text) for x in (w, *w.split("-"))}
+                keys += [key] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["doc_id", "name_text"])
+
+    met = rows.mapInArrow(words, "doc_id long, name_text string").distinct().join(names, "name_text")
+    per_text = met.groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("name_text"))).alias(k) for k in ("given", "family")))
+    none = F.array().cast("array<string>")
+    return rows.join(per_text, "doc_id", "left").select("doc_id", "text", F.coalesce("given", none).alias("given"), F.coalesce("family", none).alias("family"))

@@ -106,6 +106,13 @@ def test_leaked_spans_are_cut(spark):
     assert got == {1: ([9], "Before it. , after ALL of this long text here."), 2: ([9], None)}
 
 
+def test_cut_keeps_the_case_of_the_rest():
+    """A capital I with a dot becomes two characters in lower case and breaks a word."""
+    assert leak.words("AİB") == ["ai", "b"]
+    assert leak.without_spans("Keep AİB This ONE two Rest", [(4, 6)], 0.9) == "Keep AİB This  Rest"
+    assert leak.without_spans("Keep AİB This", [(1, 2)], 0.9) == "Keep B This"
+
+
 CASES = {
     "<h2>Oil</h2>": {"heading"}, "# Oil": {"heading"}, "Oil prices\n-----": {"heading"}, "==Oil==": {"heading"}, "\\subsection*{Oil}": {"heading"},
     "<OL><LI>a<LI>b</OL>": {"list"}, "- a\n- b": {"list"}, "1. a\n2. b": {"list"}, "* [[a]]\n** b": {"list", "inline"},
@@ -196,16 +203,27 @@ def test_personal(text, expected):
     assert [(text[a:b], kind) for a, b, kind in pii.find(text, NAMES)] == expected
 
 
+def test_long_gaps_cut_nothing():
+    """Words and gaps of any length around digits and street names."""
+    gap, name = " " * 90, "Oak" + "a" * 80
+    for text, kind in ((f"passport{gap}no.{gap}ZX5235657", "id_number"), (f"at 12 {name} {name} Lane, X", "address"), (f"Flat 2,{gap}194{gap}Oak{gap}Road", "address"), (f"SSN{gap}920363187", "id_number")):
+        (found,) = pii.find(text, NAMES)
+        assert found[2] == kind and text[found[0] : found[1]] == text.removeprefix("at ").removesuffix(", X")
+
+
 def test_redaction_keeps_the_rest():
     text = "Dear Anna Berth,\r\nwrite to j (at) x (dot) example\u200b or \u0441all 3035550157.\n"
     assert pii.redact(text, pii.find(text, NAMES)) == "Dear [NAME],\r\nwrite to [EMAIL]\u200b or \u0441all [PHONE].\n"
 
 
-def test_personal_table(spark):
+def test_personal_table(spark, monkeypatch):
     texts = [(1, "Mr. Nora Oak and Nora K. Elm met."), (2, "ELM, Nora said."), (3, "Nora Ash came. Nora Elm went."), (4, None), (5, ""), (None, "a@b.example"), (1, "Mr. Nora Oak and Nora K. Elm met."), (6, "nothing here")]
     frame = documents_of(spark, texts)
     names = spark.createDataFrame([("Anna", "given", 1), (None, "given", 1), ("Oak", None, 1)], "name_text string, kind string, doc_id int")
     got = {r.doc_id: r.text for r in pii.personal_information(frame, names).collect()}
     assert set(got) == {1, 2, 3} and got[3] == "[NAME] came. [NAME] went."
     assert pii.personal_information(frame.limit(0), names.limit(0)).count() == 0
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)  # more names than are sent to the executors
+    assert {r.doc_id: r.text for r in pii.personal_information(frame, names).collect()} == got
+    monkeypatch.undo()
     assert {r.doc_id for r in pii.personal_information(frame, names, learn=False).collect()} == {1}
