@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import Scratch, small
+
 #: The corpus's own elements, which are no foreign markup.
 OWN = ("TITLE", "AUTHOR", "DATELINE", "BODY")
 # Names of HTML and wiki elements by what they mark up.
@@ -189,31 +191,54 @@ _FOREIGN = rf"(?i)^</?(?:{HEADING_TAGS}|{LIST_TAGS}|{CODE_TAGS}|{INLINE_TAGS}|ma
 MOST_HOSTS = 100_000
 
 
-def template_classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``(path, tokens, pages, depth)``: the equivalence classes of tag tokens of each host.
+def template_classes(pages: DataFrame, scratch: Scratch, support: float = SUPPORT) -> DataFrame:
+    """``(path, tokens, pages, depth)``: the equivalence classes of tag tokens of each host's template.
 
-    Tokens with the same occurrence vector over a host's pages form a class. It is valid if each token occurs once
-    in each of the class's pages, in at least ``support`` of the host's pages, and nests in the others, which tags
-    that open and close once do if the class keeps an order: its tokens come in order of their mean position;
-    ``depth`` counts the valid classes of the host with more pages. A vector is represented by the sum of hashes of
-    its (page, count) entries, so a host of any size is aggregated in parts, and no page list is ever collected.
+    Tokens with the same occurrence vector over a host's pages form a class. It belongs to the template if it occurs in at
+    least ``support`` of the host's pages, each of its tokens once in each of them, if its tokens come
+    in the same order on all pages, and if they nest: no tag closes another one than the last open. ``depth`` counts the
+    valid classes of the host that enclose it, on all pages where both are. A vector is represented by the sum of hashes
+    of its (page, count) entries, so a host of any size is aggregated in parts, and no page list is ever collected.
     """
-    tags = F.regexp_extract_all(F.array_join("text_lines", "\n"), F.lit(_TAG), 0)
-    tagged = pages.select("path", "doc_id", tags.alias("tags")).dropDuplicates(["path", "doc_id"])
-    found = tagged.select("path", "doc_id", F.posexplode("tags").alias("at", "token"))
-    counts = found.where(~F.col("token").rlike(_FOREIGN)).groupBy("path", "doc_id", "token").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    sizes = pages.groupBy("path").agg(F.count_distinct("doc_id").alias("size"))
+    found = _places(pages).where(~F.col("token").rlike(_FOREIGN))
+    counts = scratch.keep(found.groupBy("path", "doc_id", "token").agg(F.count("*").alias("n"), F.min("at").alias("at")))
     vectors = counts.groupBy("path", "token").agg(
-        F.sum(F.xxhash64("doc_id", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.avg("at").alias("at")
-    )
-    sizes = tagged.groupBy("path").agg(F.count("*").alias("size"))
-    classes = (
-        vectors.where("most = 1")
-        .groupBy("path", "vector", "pages")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))
-        .join(sizes, "path")
-        .where(F.col("pages") >= support * F.col("size"))
+        F.sum(F.xxhash64("doc_id", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most")
     )
-    return classes.select("path", "tokens", "pages", (F.rank().over(Window.partitionBy("path").orderBy(F.desc("pages"))) - 1).alias("depth"))
+    frequent = vectors.where("most = 1").join(sizes, "path").where(F.col("pages") >= support * F.col("size"))
+    named = frequent.select("path", "token", "vector", "pages")
+    seen = counts.join(named, ["path", "token"])
+    orders = seen.groupBy("path", "doc_id", "vector", "pages").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("x"))
+    rows = orders.select("path", "doc_id", "vector", "pages", F.col("x.token").alias("tokens"), F.col("x")[0]["at"].alias("first"), F.col("x")[F.size("x") - 1]["at"].alias("last"))
+    classes = rows.groupBy("path", "vector", "pages").agg(F.min("tokens").alias("tokens"), F.max("tokens").alias("other")).where("tokens = other").drop("other")
+    nested = classes.where(_nests(F.col("tokens")))
+    outer = rows.select("path", "doc_id", F.col("vector").alias("of"), F.col("first").alias("a"), F.col("last").alias("b"))
+    within = rows.join(outer, ["path", "doc_id"]).where("vector <> of")
+    holds = within.groupBy("path", "vector", "of").agg(F.min((F.col("a") < F.col("first")) & (F.col("last") < F.col("b"))).alias("inside")).where("inside")
+    depths = holds.join(nested.select("path", F.col("vector").alias("of")), ["path", "of"], "left_semi").groupBy("path", "vector").agg(F.count("*").alias("depth"))
+    return nested.join(depths, ["path", "vector"], "left").select("path", "tokens", "pages", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+
+
+def _places(pages: DataFrame) -> DataFrame:
+    """``(path, doc_id, at, token)``: the tags of each page with their places; a page that is repeated counts once."""
+    tags = F.regexp_extract_all(F.array_join("text_lines", "\n"), F.lit(_TAG), 0)
+    once = pages.select("path", "doc_id", tags.alias("tags")).dropDuplicates(["path", "doc_id"])
+    return once.select("path", "doc_id", F.posexplode("tags").alias("at", "token"))
+
+
+def _nests(tokens: Column) -> Column:
+    """Whether no closing tag meets another open tag than its own; tags may stay open, as those of many files do."""
+    state = F.struct(F.array().cast("array<string>").alias("open"), F.lit(True).alias("ok"))
+
+    def step(s: Column, t: Column) -> Column:
+        name = F.regexp_extract(t, "^</?([A-Za-z0-9]+)>$", 1)
+        top = F.get(s["open"], F.size(s["open"]) - 1)
+        closes, opens = t.startswith("</"), t.startswith("<") & ~t.startswith("</")
+        opened = F.when(opens, F.concat(s["open"], F.array(name))).when(closes & (top == name), F.slice(s["open"], 1, F.size(s["open"]) - 1)).otherwise(s["open"])
+        return F.struct(opened.alias("open"), (s["ok"] & ~(closes & F.coalesce(top != name, F.lit(False)))).alias("ok"))
+
+    return F.aggregate(tokens, state, step, lambda s: s["ok"])
 
 
 def _one_row_per_page(articles: DataFrame) -> DataFrame:
@@ -223,7 +248,7 @@ def _one_row_per_page(articles: DataFrame) -> DataFrame:
     )
 
 
-def markup(articles: DataFrame, scratch, support: float = SUPPORT) -> DataFrame:
+def markup(articles: DataFrame, scratch: Scratch, support: float = SUPPORT) -> DataFrame:
     """``(doc_id, kinds, text)`` of each article with foreign markup: the kinds of structure marked up (``heading``,
     ``list``, ``code``, ``formula``, ``inline``) and the clean text of its slots.
 
@@ -233,10 +258,8 @@ def markup(articles: DataFrame, scratch, support: float = SUPPORT) -> DataFrame:
     ignored. One pass without a shuffle after the small template join; lines without any character of a construct
     keep an article from being sent to Python at all.
     """
-    from lexmill.sources.tables import small
-
     pages = _one_row_per_page(articles)
-    tags = template_classes(pages, support).select("path", F.explode("tokens").alias("token"))
+    tags = template_classes(pages, scratch, support).select("path", F.explode("tokens").alias("token"))
     templates = scratch.keep(tags.groupBy("path").agg(F.collect_set("token").alias("own")))
     own = "|".join(OWN)
     start = rf"(?:^|</?(?:{own})>) {{0,3}}(?:[-+#=]|\d{{1,3}}[.)]\s)"

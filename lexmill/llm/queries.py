@@ -67,7 +67,7 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 def p5_template(spark: SparkSession, d: str) -> DataFrame:
     """The template classes of each file."""
     pages = table(spark, d, "articles").where("text_lines is not null")
-    return markup.template_classes(pages).select("path", F.array_join("tokens", " ").alias("tokens"), "pages", "depth")
+    return markup.template_classes(pages, Scratch(spark)).select("path", F.array_join("tokens", " ").alias("tokens"), "pages", "depth")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -161,11 +161,26 @@ def test_markup_table(spark, scratch):
     frame = spark.createDataFrame(rows, schema)
     got = {(r.doc_id, tuple(r.kinds)) for r in markup.markup(frame, scratch).collect()}
     assert got == {(30, ("heading",)), (33, ("inline",))}
-    classes = {tuple(r.tokens) for r in markup.template_classes(markup._one_row_per_page(frame)).where("path = 'f'").collect()}
+    classes = {tuple(r.tokens) for r in markup.template_classes(markup._one_row_per_page(frame), scratch).where("path = 'f'").collect()}
     assert ("<DATELINE>", "</DATELINE>", "<BODY>") in classes
     assert markup.markup(frame.limit(0), scratch).count() == 0
 
 
+def test_template_of_unknown_tags(spark, scratch):
+    """Tags that nobody listed are learned from the pages and part the slots; crossing and reordered ones are none, and
+    without the template the same page reads otherwise."""
+    page = lambda i, lines, path="g": (i, path, lines)
+    rows = [page(i, [f"<HEAD9>T{i}</HEAD9><STORY>", f"<SLUG>s{i}</SLUG> text</STORY>"]) for i in range(20)]
+    rows += [page(50, ["<HEAD9>T</HEAD9><STORY># Oil", "more</STORY>"])]
+    rows += [page(100 + i, ["<P1><P2>a</P1>b</P2>"], "crossing") for i in range(9)]
+    rows += [page(200 + i, ["<Q1>a</Q1><Q2>b</Q2>" if i % 2 else "<Q2>b</Q2><Q1>a</Q1>"], "order") for i in range(9)]
+    frame = spark.createDataFrame(rows + rows[:3], "doc_id long, path string, text_lines array<string>")
+    classes = {(r.path, tuple(r.tokens), r.depth) for r in markup.template_classes(frame, scratch).collect()}
+    assert classes == {("g", ("<HEAD9>", "</HEAD9>", "<STORY>", "</STORY>"), 0), ("g", ("<SLUG>", "</SLUG>"), 1)}
+    assert {(r.doc_id, tuple(r.kinds)) for r in markup.markup(frame, scratch).collect()} == {(50, ("heading",))}
+    assert markup.markup(frame, scratch, support=1.1).count() == 0
+
+
 def test_long_texts_stay_fast():
     began = time.time()
     for text in ("[" * 20_000, "**x " * 20_000, "a" * 300_000, "<" * 50_000, "1 2 " * 40_000, "A. " * 20_000, "@" * 20_000, "a@" * 20_000, "{{" * 20_000, "\\(" * 3_000):
