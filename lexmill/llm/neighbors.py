@@ -446,8 +446,9 @@ def nearest(
     spark = rows.sparkSession
     kept = scratch.keep(records(rows))
     all_rows = scratch.keep(vectors(kept))
-    classes = scratch.keep(all_rows.groupBy("field", "digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    reps = scratch.keep(all_rows.join(classes.select("field", F.col("id").alias("doc_id")), ["field", "doc_id"], "left_semi").select("field", "doc_id", "dense"))
+    first = F.min_by("dense", "doc_id").alias("dense")
+    classes = scratch.keep(all_rows.groupBy("field", "digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), first))
+    reps = classes.select("field", F.col("id").alias("doc_id"), "dense")
     models = {}
     for field, n in reps.groupBy("field").count().collect():
         share = min(1.0, min(SAMPLE, max(SAMPLE_OF_LIST * n / LIST, SAMPLE_OF_CODES)) * 0.95 / n)
@@ -458,6 +459,9 @@ def nearest(
         return spark.createDataFrame([], "field string, doc_id long, other long, similarity double")
     scanned = scratch.keep(_candidates(reps, models, least, slack, reranked))
     pairs = scanned.where("block is null").select("field", "a", "b")
+    wanted = scratch.keep(scanned.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
+    if wanted.count() <= MOST_IDS:  # fewer terms to shuffle; beyond it the filter would cost a shuffle of its own
+        kept = kept.join(F.broadcast(wanted), "doc_id", "left_semi")
     asked = scanned.where("block is not null").select("field", "block", F.when(F.col("a").isNull(), 0).otherwise(1).alias("side"), F.coalesce("a", "b").alias("id"))
     if asked.limit(1).count():
         pairs = scratch.keep(pairs.unionByName(_whole_blocks(asked, kept, k, least, digits)).distinct())
@@ -469,7 +473,7 @@ def nearest(
     links = scratch.keep(links.unionByName(equal))
     used = small(scratch.keep(links.select("field", F.col("a").alias("id")).distinct()), MOST_IDS)
     members = scratch.keep(
-        all_rows.select("field", "digest", "doc_id").join(classes.join(used, ["field", "id"], "left_semi"), ["field", "digest"]).select("field", "id", "doc_id")
+        all_rows.select("field", "digest", "doc_id").join(classes.select("field", "digest", "id").join(used, ["field", "id"], "left_semi"), ["field", "digest"]).select("field", "id", "doc_id")
     )
     by_id = Window.partitionBy("field", "id").orderBy("doc_id")
     firsts = members.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("field", F.col("id").alias("b"), F.col("doc_id").alias("other"))
