@@ -227,6 +227,8 @@ class Partitions:
 
 #: Rows of one key that are compared pair by pair at once; beyond it a key is large and meets by leaders first.
 LARGE_KEY = 400
+#: Longs of a set's bitmap.
+WORDS = 8
 INDEX, PROBE, HARD = 0, 1, 2
 _LOW = (1 << 30) - 1
 PAIR, MORE = 3, 4
@@ -323,8 +325,27 @@ def _meet(keys: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, _meeting)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, compared in full."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, compared in full. Tokens are fetched only for pairs whose bitmaps leave
+    it open: sets differ in at least as many tokens as their bitmaps do in bits, which bounds the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offset = batch.column(2).offsets.to_numpy().astype(np.int64)
+            h = mix(batch.column(2).flatten().to_numpy().view(_U) ^ _U(0x2545F4914F6CDD1D))
+            bits = np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
+            bits[np.repeat(np.arange(batch.num_rows), np.diff(offset)), (h % _U(64 * WORDS)).astype(np.int64)] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(np.diff(offset).astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "shared", *(f"w{i}" for i in range(WORDS))])
+
+    shape = "id long, size int, shared int, " + ", ".join(f"w{i} long" for i in range(WORDS))
+    maps = scratch.keep(sets.select("id", "size", "tokens").mapInArrow(run, shape))
+    one, other = (maps.select(*(F.col(c).alias(s + ("" if c == "id" else c)) for c in maps.columns)) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"aw{i}").bitwiseXOR(F.col(f"bw{i}"))) for i in range(WORDS)), F.lit(0))
+    most = F.least(F.floor((F.col("ashared") + F.col("bshared") - differ) / 2), F.col("ashared"), F.col("bshared"))
+    open_ = pairs.join(one, "a").join(other, "b").where(most >= threshold * (F.col("asize") + F.col("bsize") - most) - 1e-9)
+    pairs = scratch.keep(open_.select("a", "b"))
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"), F.col("size").alias("n"))
     b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"), F.col("size").alias("m"))
     both = F.size(F.array_intersect("x", "y"))
@@ -345,7 +366,7 @@ def near_duplicates(texts: DataFrame, scratch: Scratch, stop: frozenset[str] = f
     sets, members = fold_copies(shared_runs(texts, stop, k, threshold), scratch, F.size("tokens") == F.col("size"))
     met = scratch.keep(_meet(_keys(sets, Partitions(threshold)), threshold))
     pairs = met.where(F.col("kind") == PAIR).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    links = scratch.keep(_verified(pairs.distinct(), sets, threshold))
+    links = scratch.keep(_verified(pairs.distinct(), sets, threshold, scratch))
     linked = scratch.keep(components(links, scratch))
     kinds = {r.kind for r in met.where(F.col("kind") != PAIR).select("kind").distinct().collect()}
     rest = None
@@ -365,7 +386,7 @@ def near_duplicates(texts: DataFrame, scratch: Scratch, stop: frozenset[str] = f
         more = asked.join(filed, "h").where("n < m or (n = m and b < a)").select("a", "b")
         rest = more if rest is None else rest.unionByName(more)
     if rest is not None:
-        linked = components(links.unionByName(_verified(rest.distinct(), sets, threshold)), scratch)
+        linked = components(links.unionByName(_verified(rest.distinct(), sets, threshold, scratch)), scratch)
     placed = members.join(linked, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group_id"))
     sizes = placed.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
     return placed.join(sizes, "group_id").select("group_id", "doc_id")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from lexmill.llm import distinctive, frequency, near_dup, set_join
 from lexmill.llm.bags import term_bags, term_sets
 from lexmill.llm.components import components
 from lexmill.llm.hashing import fold_copies
+from lexmill.sources.tables import Scratch
 
 POSTINGS = "term string, doc_id long, tf long, indexed_at timestamp, token string, size int"
 ARTICLES = "doc_id long, path string, text_lines array<string>, processed_text string, processed_words array<string>, ingested_at timestamp, n int, h long"
@@ -290,3 +292,31 @@ def test_components(spark, scratch):
 
 def test_term_words():
     assert is_term_word("abc") and not is_term_word("ab")
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    scratch, before = Scratch(spark, sweep=True), files()
+    kept = scratch.keep(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):
+        left = {x for x in files() - before if x.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_bitmaps_lose_no_similar_pair(spark, scratch):
+    rng = random.Random(4)
+    base = [rng.sample(range(400), 60) for _ in range(6)]
+    sets = {i: sorted({*rng.sample(base[i % 6], rng.randint(20, 60)), *rng.sample(range(400, 900), rng.randint(0, 30))}) for i in range(60)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    rows = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "id long, size int, tokens array<long>")
+    got = near_dup._verified(spark.createDataFrame(pairs, "a long, b long"), rows, 0.5, scratch)
+    alike = {(a, b) for a, b in pairs if 2 * len({*sets[a]} & {*sets[b]}) >= len({*sets[a]} | {*sets[b]})}
+    assert {(r.a, r.b) for r in got.collect()} == alike and 20 < len(alike) < len(pairs)
+    assert spark.read.parquet(f"{scratch.root}/{scratch.used}").count() < len(pairs) / 2
