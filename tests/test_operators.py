@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators import cluster, index, vector_model as vsm
+from lexmill.operators import cluster, index, pairs, vector_model as vsm
+from lexmill.plans import queries
 from lexmill.sources import index_files, sgml
 from lexmill.sources.tables import without_hot_repeats
 from lexmill.streaming.ingest import stream_postings
@@ -194,3 +196,81 @@ def test_hot_repeats(spark):
 def test_stemmed(spark, docs):
     got = {r.term for r in index.postings(docs, stemmed=True).collect()}
     assert {"price", "oil", "wheat"} <= got and "prices" not in got
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far by this session."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def alike_texts(n):
+    """Documents that share one word, so that all pairs have it, besides words of few."""
+    rng = random.Random(3)
+    return {i: " ".join(["shared", *(f"word{rng.randrange(60)}" for _ in range(rng.randrange(1, 12)))]) for i in range(n)}
+
+
+def brute_similarities(texts):
+    sets = {d: set(t.split()) for d, t in texts.items()}
+    idf = {t: math.log10(len(texts) / sum(t in s for s in sets.values())) for t in set().union(*sets.values())}
+    size = {d: sum(idf[t] ** 2 for t in s) for d, s in sets.items()}
+    return {
+        (a, b): (len(c) / len(sets[a]) / len(sets[b]), sum(idf[t] ** 2 for t in c) / size[a] / size[b])
+        for a in sets for b in sets if a < b and (c := sets[a] & sets[b])
+    }
+
+
+@pytest.fixture()
+def alike_tables(spark, tmp_path):
+    texts = alike_texts(400)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    return texts, str(tmp_path)
+
+
+def test_most_similar_shuffles_no_pairs(spark, alike_tables):
+    """79,800 pairs share a word; what is shuffled is of the size of the documents."""
+    texts, folder = alike_tables
+    before = shuffled_rows(spark)
+    got = {r.doc_id: r for r in queries.most_similar_document(spark, folder).collect()}
+    assert shuffled_rows(spark) - before < 20_000
+    half = brute_similarities(texts)
+    both = half | {(b, a): v for (a, b), v in half.items()}
+    for d in texts:
+        for k, (other, value) in enumerate(((got[d].tf_doc, got[d].tf_sim), (got[d].tfidf_doc, got[d].tfidf_sim))):
+            near = [(-round(both[d, x][k], 12), x) for x in texts if x != d]
+            assert value == pytest.approx(-min(near)[0], abs=2e-12) and -value <= min(near)[0] + 2e-12
+            assert other in {x for v, x in near if v <= min(near)[0] + 2e-12}
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_best_of_panels(spark, signed):
+    """Two panels in small chunks, terms in dense columns and not: the largest product each, of equal ones the smallest id."""
+    rng = np.random.default_rng(5)
+    terms = 300
+    full = np.zeros((240, terms))
+    for row in full:
+        at = np.unique((terms * rng.random(rng.integers(1, 30)) ** 3).astype(int))
+        row[at] = rng.integers(1, 4, len(at)) * (rng.choice([-1, 1], len(at)) if signed else 1)
+    full[7] = full[100] = full[101]
+
+    def panel(a, b):
+        row, term = np.nonzero(full[a:b])
+        start = np.r_[0, np.cumsum(np.bincount(row, minlength=b - a))]
+        value = full[a:b][row, term]
+        return pairs.Rows(np.arange(a, b), start, term, value, value / 3, np.ones(b - a), np.full(b - a, 0.5))
+
+    want = full @ full.T
+    np.fill_diagonal(want, -np.inf)
+    whole, one, other = panel(0, 240), panel(0, 110), panel(110, 240)
+    for tasks in ([(whole, whole)], [(one, one), (one, other), (other, other)]):
+        best = {}
+        for x, y in tasks:
+            for columns in pairs.best_columns(x, y, terms, 9, 32, 50):
+                for doc, *found in zip(*(c.tolist() for c in columns), strict=True):
+                    for k, (value, near) in enumerate((found[:2], found[2:])):
+                        if near is not None:
+                            best[doc, k] = max(best.get((doc, k), (0, 0)), (value, -near))
+        for d in range(240):
+            for k, scale in enumerate((1, 1 / 36)):
+                top = want[d].max() * scale
+                assert best.get((d, k)) == ((pytest.approx(top, abs=1e-9), -int(want[d].argmax())) if top > 0 else None)
