@@ -274,3 +274,15 @@ def test_best_of_panels(spark, signed):
             for k, scale in enumerate((1, 1 / 36)):
                 top = want[d].max() * scale
                 assert best.get((d, k)) == ((pytest.approx(top, abs=1e-9), -int(want[d].argmax())) if top > 0 else None)
+
+
+def test_similarity_pairs_shuffle_no_pairs(spark, alike_tables):
+    """All 79,800 pairs come out, from shuffles of the size of the documents."""
+    texts, folder = alike_tables
+    before = shuffled_rows(spark)
+    rows = queries.similarity_pairs(spark, folder).collect()
+    assert shuffled_rows(spark) - before < 20_000
+    want = brute_similarities(texts)
+    assert len(rows) == len(want) == 79_800 and {(r.a, r.b) for r in rows} == set(want)
+    for r in rows:
+        assert (r.tf_sim, r.tfidf_sim) == (pytest.approx(want[r.a, r.b][0], abs=1e-12), pytest.approx(want[r.a, r.b][1], abs=1e-6))
