@@ -286,3 +286,15 @@ def test_similarity_pairs_shuffle_no_pairs(spark, alike_tables):
     assert len(rows) == len(want) == 79_800 and {(r.a, r.b) for r in rows} == set(want)
     for r in rows:
         assert (r.tf_sim, r.tfidf_sim) == (pytest.approx(want[r.a, r.b][0], abs=1e-12), pytest.approx(want[r.a, r.b][1], abs=1e-6))
+
+
+def test_similarity_matrix_shuffles_no_pairs(spark, alike_tables):
+    """Both directions of all 79,800 pairs come out, from shuffles of the size of the documents."""
+    texts, folder = alike_tables
+    before = shuffled_rows(spark)
+    rows = queries.similarity_matrix(spark, folder).collect()
+    assert shuffled_rows(spark) - before < 20_000
+    want = brute_similarities(texts)
+    got = {(r.a, r.b): r.sim for r in rows}
+    assert len(rows) == len(got) == 2 * len(want)
+    assert all(got[a, b] == got[b, a] == pytest.approx(tf, abs=1e-12) for (a, b), (tf, _) in want.items())
